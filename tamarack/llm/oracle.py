@@ -7,7 +7,7 @@ _TRIM = r"regexp_replace({}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+
 
 
 def _fits(units: str) -> str:
-    return f"coalesce(list_max(list_transform({units}, u -> length({_TRIM.format('u')}))), 0) <= 2000"
+    return f"coalesce(list_max(list_transform({units}, lambda u: length({_TRIM.format('u')}))), 0) <= 2000"
 
 
 _LETTERS = r"regexp_replace(lower(x), '[^\p{L}]+', '', 'g')"
@@ -17,13 +17,13 @@ SQL = {
         SELECT page_id, CASE
             WHEN {_fits(r"string_split_regex(text, '\n([ \t\r]*\n)+')")} THEN 'paragraph'
             WHEN {_fits("string_split(text, chr(10))")} THEN 'line'
-            WHEN {_fits(r"flatten(list_transform(string_split(text, chr(10)), l -> string_split(regexp_replace(l, '([.!?…])\s+', '\1' || chr(10), 'g'), chr(10))))")} THEN 'sentence'
+            WHEN {_fits(r"flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(regexp_replace(l, '([.!?…])\s+', '\1' || chr(10), 'g'), chr(10))))")} THEN 'sentence'
             WHEN {_fits(r"string_split_regex(text, '\s+')")} THEN 'word'
             ELSE 'character' END AS boundary
         FROM logement_en WHERE length(text) > 2000""",
     "p4_found": rf"""
         WITH pages AS (SELECT page_id, site, string_split(text, chr(10)) AS l FROM logement_en WHERE site IS NOT NULL AND text IS NOT NULL),
-        lines AS (SELECT page_id, site, unnest(list_transform(l, x -> {_LETTERS})) AS k, unnest(range(1, len(l) + 1)) AS line_no FROM pages),
+        lines AS (SELECT page_id, site, unnest(list_transform(l, lambda x: {_LETTERS})) AS k, unnest(range(1, len(l) + 1)) AS line_no FROM pages),
         total AS (SELECT site, count(*) AS n FROM pages GROUP BY site),
         often AS (SELECT site, k FROM lines JOIN total USING (site) WHERE length(k) >= 4 GROUP BY site, k, n
                   HAVING count(DISTINCT page_id) >= 6 AND count(DISTINCT page_id) >= 0.15 * n - 1e-9)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import boilerplate, language, leakage, lookalike, mixing, partenum, splitting
+from tamarack.llm import boilerplate, language, leakage, lookalike, mixing, partenum, splitting, subjects
 
 
 def _read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,23 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(pages, "text", 2000, 200)
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    pages = _read(spark, d, "logement_en_categorized", "page_id", "text", "category_id", "category_name", "subcategory")
+    return subjects.subjects_of(pages, subjects.fit(pages, _read(spark, d, "categories")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+def p2_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages treat each subject area, and their share of all assignments."""
+    names = _read(spark, d, "categories", "category_id", "category_name").distinct()
+    n = _subjects(spark, d).groupBy("category_id").agg(F.count("*").alias("pages"))
+    every = n.agg(F.sum("pages")).first()[0] or 1
+    return names.join(n, "category_id", "left").fillna(0, ["pages"]).withColumn("share", F.round(F.col("pages") / every, 6))
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return partenum.near_duplicate_groups(_read(spark, d, "logement_en", "page_id", "text"))
 
