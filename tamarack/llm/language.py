@@ -73,7 +73,7 @@ def units(text: str, shortest: int = 4, longest: int = 20) -> list[str]:
             if w in _MARKS:
                 close()
                 continue
-            if _DEAD.search(w):
+            if not w.isalpha() and _DEAD.search(w):
                 w = "0" + (w[-1] if w[-1] in _STOP else "")
             elif arabic:
                 if (now := 1 if _ARABIC.search(w) else 2 if w[0].isalpha() else script) != script and words:
@@ -115,9 +115,9 @@ class Dictionaries:
             self.by.append(z.ZstdCompressor(level=self.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         self.other = [c for k, c in enumerate(self.by) if k != self.arabic]
 
-    def sizes(self, piece: str) -> list[int]:
+    def sizes(self, piece: str, arabic: bool = True) -> list[int]:
         b = piece.encode("utf-8", "replace")
-        if self.arabic is None or _ARABIC.search(piece):
+        if self.arabic is None or arabic and _ARABIC.search(piece):
             return [len(c(b)) for c in self.by]
         out = [len(c(b)) for c in self.other]
         out.insert(self.arabic, len(b) + 16)  # what doesn't hold a letter of its script can't be it
@@ -135,7 +135,7 @@ class Detector:
     def __init__(self, raw: dict[str, bytes], switch: float = 11, split: float = 10, poor: float = 0.5, narrow: float = 0.06, words: int = 4) -> None:
         self.d, self.switch, self.split, self.poor, self.narrow, self.words = Dictionaries(raw), switch, split, poor, narrow, words
 
-    def _cut(self, unit: str, sizes: list[int], depth: int = 0) -> list[tuple[str, list[int]]]:
+    def _cut(self, unit: str, sizes: list[int], arabic: bool, depth: int = 0) -> list[tuple[str, list[int]]]:
         words = unit.split(" ")
         n, best = len(words), min(sizes)
         if n < 2 * self.words or depth == 3 or best < self.poor * len(unit.encode("utf-8", "replace")):
@@ -144,21 +144,40 @@ class Detector:
         # a change has to show in stretches of a few words before all places are tried
         main, n_parts = sizes.index(best), max(2, n // 5)
         for k in range(n_parts):
-            part = self.d.sizes(" ".join(words[n * k // n_parts : n * (k + 1) // n_parts]))
+            part = self.d.sizes(" ".join(words[n * k // n_parts : n * (k + 1) // n_parts]), arabic)
             if part[main] - min(part) >= 3:
                 break
         else:
             return [(unit, sizes)]
         top, at = 0.0, 0
         for k in range(low, n - low + 1):
-            left, right = self.d.sizes(" ".join(words[:k])), self.d.sizes(" ".join(words[k:]))
+            left, right = self.d.sizes(" ".join(words[:k]), arabic), self.d.sizes(" ".join(words[k:]), arabic)
             a, b = min(left), min(right)
             if left.index(a) != right.index(b) and best - a - b + self.FRAME > top:
                 top, at = best - a - b + self.FRAME, k
         if top < self.split:
             return [(unit, sizes)]
         left, right = " ".join(words[:at]), " ".join(words[at:])
-        return self._cut(left, self.d.sizes(left), depth + 1) + self._cut(right, self.d.sizes(right), depth + 1)
+        return self._cut(left, self.d.sizes(left, arabic), arabic, depth + 1) + self._cut(right, self.d.sizes(right, arabic), arabic, depth + 1)
+
+    def _path(self, pieces: list[tuple[str, list[int]]]) -> list[int]:
+        """The cheapest row of languages, where a change costs ``switch`` bytes."""
+        n, (first, *rest) = len(self.d.langs), [s for _, s in pieces]
+        i = first.index(min(first))
+        if all(s.index(min(s)) == i for s in rest):
+            return [i] * len(pieces)
+        cost, back = [float(x) for x in first], []
+        for s in rest:
+            low = min(range(n), key=cost.__getitem__)
+            stay = [cost[i] <= cost[low] + self.switch for i in range(n)]
+            back.append([i if stay[i] else low for i in range(n)])
+            cost = [(cost[i] if stay[i] else cost[low] + self.switch) + s[i] for i in range(n)]
+        i = min(range(n), key=cost.__getitem__)
+        path = [i]
+        for b in reversed(back):
+            path.append(i := b[i])
+        path.reverse()
+        return path
 
     #: Bytes that any encoding has besides its content.
     FRAME = 5
@@ -169,22 +188,12 @@ class Detector:
         if not text:
             return []
         pieces: list[tuple[str, list[int]]] = []
+        arabic = bool(_ARABIC.search(text))
         for u in units(text):
-            pieces += self._cut(u, self.d.sizes(u))
+            pieces += self._cut(u, self.d.sizes(u, arabic), arabic)
         if not pieces:
             return []
-        n = len(self.d.langs)
-        cost, back = [float(x) for x in pieces[0][1]], []
-        for _, s in pieces[1:]:
-            low = min(range(n), key=cost.__getitem__)
-            stay = [cost[i] <= cost[low] + self.switch for i in range(n)]
-            back.append([i if stay[i] else low for i in range(n)])
-            cost = [(cost[i] if stay[i] else cost[low] + self.switch) + s[i] for i in range(n)]
-        i = min(range(n), key=cost.__getitem__)
-        path = [i]
-        for b in reversed(back):
-            path.append(i := b[i])
-        path.reverse()
+        path = self._path(pieces)
         runs: list[list] = []
         for (t, s), i in zip(pieces, path):
             if runs and runs[-1][0] == i:
@@ -196,7 +205,7 @@ class Detector:
         for i, t, s in runs:
             second = min((x for k, x in enumerate(s) if k != i), default=s[i])
             margin = (second - s[i]) / max(1, second)
-            if len(_WORD.findall(t)) >= self.words - 1 and margin >= self.narrow:
+            if t.count(" ") + 1 >= self.words - 1 and margin >= self.narrow:
                 out.append((self.d.langs[i], t, round(margin, 4)))
         return out
 
@@ -205,7 +214,7 @@ class Detector:
         size: Counter = Counter()
         sure: dict[str, float] = {}
         for lang, t, m in self.segments(text):
-            size[lang] += len(_WORD.findall(t))
+            size[lang] += t.count(" ") + 1
             sure[lang] = max(sure.get(lang, 0.0), m)
         return [(lang, sure[lang]) for lang, n in size.most_common() if n >= self.words or len(size) == 1]
 
