@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.runtime import new_path
+from tamarack.runtime import delete_at_exit, new_path
 
 
 def line_keys(text: Column, min_letters: int) -> Column:
@@ -39,6 +39,7 @@ class LineLedger:
     version: int = 0
 
     def __post_init__(self) -> None:
+        self._own = not self.path  # a state without a given folder lasts as long as the session
         self.path = self.path or new_path(self.spark, "lines")
 
     def _table(self, name: str, version: int) -> DataFrame:
@@ -59,6 +60,8 @@ class LineLedger:
                 delta = self._table(name, self.version).unionByName(delta).groupBy(*by).agg(F.sum("pages").alias("pages"))
             delta.write.parquet(f"{self.path}/{self.version + 1}/{name}")
         self.version += 1
+        if self._own:
+            delete_at_exit(self.spark, self.path)
         return self
 
     def repeated(self, version: int | None = None) -> DataFrame:

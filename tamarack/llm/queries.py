@@ -68,9 +68,9 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that have to be written anew when the last day's partition arrives after all earlier ones were merged."""
+    """Pages that have to be written anew when the last month's partition arrives after all earlier ones were merged."""
     pages = _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")
-    last = pages.agg(F.date_trunc("day", F.max("ingested_at"))).first()[0]
+    last = pages.agg(F.date_trunc("month", F.max("ingested_at"))).first()[0]
     new = F.coalesce(F.col("ingested_at") >= F.lit(last).cast("timestamp_ntz"), F.lit(False)) if last else F.lit(False)
     return _ledger(spark, pages.where(~new), pages.where(new)).rebuild(pages)
 
