@@ -101,7 +101,7 @@ def clean_answer(text: Column) -> Column:
     t = F.split(text, r"(?i)Question\s*:", 2)[0]
     for mark in END_TOKENS:
         t = F.replace(t, F.lit(mark), F.lit(""))
-    return F.trim(t)
+    return F.regexp_replace(t, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def sentences(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import tokens
 from tamarack.operators.ranking import top_k
-from tamarack.runtime import cut, spread
+from tamarack.runtime import cut
 
 
 @dataclass
@@ -28,14 +28,17 @@ class SparseIndex:
 
 def build(corpus: DataFrame, text: str = "text", bundle: Column | None = None, tokenizer=tokens) -> SparseIndex:
     """Index of (doc_id, ``text``). Documents without a token count in n but have no postings."""
-    d = spread(corpus.select("doc_id", F.col(text).alias("t"), (F.lit("") if bundle is None else bundle).alias("bundle")))
-    own = cut(d.select("bundle", "doc_id", tokenizer(F.col("t")).alias("w")).select("bundle", "doc_id", F.size("w").cast("long").alias("dl"), "w"), "tokens")
-    postings = own.select("bundle", "doc_id", "dl", F.explode("w").alias("term")).groupBy("bundle", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    d = corpus.select("doc_id", F.col(text).alias("t"), (F.lit("") if bundle is None else bundle).alias("bundle"))
+    # Texts are shuffled by document once, before they are taken apart; counting terms needs no further shuffle then.
+    w = d.repartition("doc_id").select("bundle", "doc_id", tokenizer(F.col("t")).alias("w"))
+    postings = w.select("bundle", "doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("bundle", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     postings = cut(postings, "postings")
     df = postings.groupBy("bundle", "term").agg(F.count("*").alias("df"))
-    lengths = own.groupBy("bundle").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    total = postings.groupBy("bundle").agg(F.sum("tf").alias("tokens"))
+    lengths = d.groupBy("bundle").agg(F.count("*").alias("n")).join(total, "bundle", "left").select("bundle", "n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"))
+    lengths = cut(lengths, "lengths")
     mean = df.join(lengths, "bundle").groupBy("bundle").agg(F.avg(okapi_idf0()).alias("mean_idf"))
-    return SparseIndex(postings, df, lengths.join(mean, "bundle", "left"))
+    return SparseIndex(postings, df, cut(lengths.join(mean, "bundle", "left"), "stats"))
 
 
 def okapi_idf0() -> Column:

@@ -106,11 +106,13 @@ def token_windows(words: Column, size: int, overlap: int) -> Column:
 
 
 def organisation_blocks(text: Column) -> Column:
-    """array<struct<name, block>>: a text cut before each ``===== Organisation n: name =====``; what comes before the first one is
-    left out; none where there is no such header."""
+    """array<struct<name, block>>: what follows each header ``===== Organisation n: name =====``, trimmed; what comes before
+    the first one is left out; none where there is no such header."""
+    header = r"(?s)\A=====\s*(?:Organisation|Organization)\s+\d+:\s*(.+?)\s*====="
+    trimmed = lambda x: F.regexp_replace(x, r"\A[\s\p{Z}]+|[\s\p{Z}]+\z", "")
     blocks = F.slice(F.split(text, r"(?======\s*(?:Organisation|Organization)\s+\d+:)"), 1, 2147483647)
     blocks = F.filter(blocks, lambda b: b.rlike(r"\A=====\s*(?:Organisation|Organization)\s+\d+:"))
-    return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, r"(?s)\A=====\s*(?:Organisation|Organization)\s+\d+:\s*(.+?)\s*=====", 1)).alias("name"), F.trim(b).alias("block")))
+    return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, header, 1)).alias("name"), trimmed(F.regexp_replace(b, header, "")).alias("block")))
 
 
 def chunk_organisations(df: DataFrame, key: str, text: str, size: int = 500) -> DataFrame:
@@ -120,7 +122,7 @@ def chunk_organisations(df: DataFrame, key: str, text: str, size: int = 500) ->
     long = F.length("o.block") > 2 * size
     d = d.select(key, "at", "o.name", long.alias("long"), F.posexplode(F.when(long, fixed_windows(F.col("o.block"), size)).otherwise(F.array("o.block"))).alias("sub", "content"))
     d = d.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(key).orderBy("at", "sub")) - 1).cast("long"))
-    name = F.concat_ws("", F.col(key).cast("string"), F.lit("_org_"), (F.col("chunk_index") - F.when(F.col("long"), F.col("sub")).otherwise(0)).cast("string"), F.when(F.col("long"), F.concat(F.lit("_sub_"), F.col("sub").cast("string"))))
+    name = F.concat_ws("", F.col(key).cast("string"), F.lit("_org_"), F.col("chunk_index").cast("string"), F.when(F.col("long"), F.concat(F.lit("_sub_"), F.col("sub").cast("string"))))
     return d.select(key, name.alias("chunk_id"), F.col("name").alias("organization_name"), "chunk_index", "content")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
-from tamarack.operators import prompts, ranking
+from tamarack.operators import prompts
 from tamarack.plans import lexical
 from tamarack.plans import sql as S
 from tamarack.plans.registry import query, table
@@ -38,7 +38,7 @@ def passage_previews(spark, d):
     return prompts.docs_in_order(hits).select("qid", writers.preview(F.col("docs")).alias("passages"))
 
 
-@query("SELECT doc_id, trim(replace(replace(string_split_regex(a, '(?i)Question\\s*:')[1], '<|eot_id|>', ''), '<|end_of_text|>', '')) AS answer FROM (SELECT doc_id, ' ' || substr(text, 1, 80) || '<|eot_id|> Question : ' || coalesce(title, '') AS a FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, regexp_replace(replace(replace(string_split_regex(a, '(?i)Question\\s*:')[1], '<|eot_id|>', ''), '<|end_of_text|>', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS answer FROM (SELECT doc_id, ' ' || substr(text, 1, 80) || '<|eot_id|> Question : ' || coalesce(title, '') AS a FROM documents WHERE text IS NOT NULL)")
 def answer_cleanup(spark, d):
     made = F.concat(F.lit(" "), F.substring("text", 1, 80), F.lit("<|eot_id|> Question : "), F.coalesce("title", F.lit("")))
     return table(spark, d, "documents", "doc_id", "title", "text").where("text is not null").select("doc_id", T.clean_answer(made).alias("answer"))
@@ -82,13 +82,13 @@ def merged_tokens(spark, d):
     return prompts.merge_tokens(t).select("qid", "word_no", "word", F.round("logprob", 6).alias("logprob"))
 
 
-@query("""SELECT query_id, (c - coalesce(lag(c) OVER w, 0))::BIGINT AS chars_delta FROM (SELECT query_id, persona, sum(length(question)) OVER (PARTITION BY persona ORDER BY query_id ROWS UNBOUNDED PRECEDING) AS c
-    FROM (SELECT DISTINCT query_id, persona, question FROM cdn_rag_queries WHERE question IS NOT NULL)) WINDOW w AS (PARTITION BY persona ORDER BY query_id)""")
+@query("""SELECT query_id, (c - coalesce(lag(c) OVER w, 0))::BIGINT AS chars_delta FROM (SELECT query_id, set_no, persona, sum(length(question)) OVER (PARTITION BY set_no, persona ORDER BY query_id ROWS UNBOUNDED PRECEDING) AS c
+    FROM (SELECT DISTINCT query_id, set_no, persona, question FROM cdn_rag_queries WHERE question IS NOT NULL)) WINDOW w AS (PARTITION BY set_no, persona ORDER BY query_id)""")
 def counter_deltas(spark, d):
-    q = table(spark, d, "cdn_rag_queries", "query_id", "persona", "question").where("question is not null").distinct()
-    run = F.sum(F.length("question")).over(Window.partitionBy("persona").orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0))
-    q = q.withColumn("chars", run)
-    return prompts.counter_deltas(q, ["persona"], ["query_id"], ["chars"]).select("query_id", "chars_delta")
+    """Characters asked so far within a set and persona, and their differences."""
+    q = table(spark, d, "cdn_rag_queries", "query_id", "set_no", "persona", "question").where("question is not null").distinct()
+    run = F.sum(F.length("question")).over(Window.partitionBy("set_no", "persona").orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0))
+    return prompts.counter_deltas(q.withColumn("chars", run), ["set_no", "persona"], ["query_id"], ["chars"]).select("query_id", "chars_delta")
 
 
 @query(r"""SELECT item_id, persona || ' ' || text AS forward_all, persona AS direct FROM eval_items WHERE length(persona) > 0 AND length(text) > 0""")
@@ -108,6 +108,3 @@ def answered_by_stub(spark, d):
 def run_summary(spark, d):
     run = lexical.best(lexical.okapi(spark, d))
     return run.groupBy("qid").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.min("score").alias("worst"))
-
-
-del ranking

@@ -73,15 +73,16 @@ def scrape_cleanup(spark, d):
 
 
 _SHEETS = """sheets AS (SELECT source, 'intro' || chr(10) || string_agg('===== Organisation ' || n || ': ' || coalesce(title, '-') || ' =====' || chr(10) || coalesce(text, ''), chr(10) ORDER BY n) AS t
-    FROM (SELECT source, title, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL) GROUP BY source)"""
+    FROM (SELECT source || '/' || (doc_id // 200) AS source, title, text, row_number() OVER (PARTITION BY source, doc_id // 200 ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL) GROUP BY source)"""
 
 
 def sheets(spark, d):
-    """One text of all sheets of a source; sources' texts are bounded in this fixture, the operator under test is the cutting."""
+    """Text files of at most 200 sheets: a source's documents of 200 neighbouring ids."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    s = table(spark, d, "documents", "source", "doc_id", "title", "text").where("source is not null").withColumn("n", n)
+    s = table(spark, d, "documents", "source", "doc_id", "title", "text").where("source is not null")
+    s = s.withColumn("source", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 200).cast("string")))
+    s = s.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     block = F.concat(F.lit("===== Organisation "), F.col("n").cast("string"), F.lit(": "), F.coalesce("title", F.lit("-")), F.lit(" =====\n"), F.coalesce("text", F.lit("")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n")
     return s.groupBy("source").agg(F.concat(F.lit("intro\n"), joined).alias("t"))
@@ -93,10 +94,10 @@ def org_count(spark, d):
 
 
 @query(f"""WITH {_SHEETS}, b AS (SELECT source, unnest(string_split(regexp_replace(t, '(=====\\s*Organisation\\s+\\d+:)', chr(1) || '\\1', 'g'), chr(1))[2:]) AS b, unnest(range(len(string_split(t, '===== Organisation ')) - 1)) AS nr FROM sheets),
-    c AS (SELECT source, nr, trim(b) AS b, trim(regexp_extract(b, '(?s)^=====\\s*Organisation\\s+\\d+:\\s*(.+?)\\s*=====', 1)) AS organization_name FROM b),
+    c AS (SELECT source, nr, regexp_replace(regexp_replace(b, '(?s)^=====\\s*Organisation\\s+\\d+:\\s*(.+?)\\s*=====', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS b, trim(regexp_extract(b, '(?s)^=====\\s*Organisation\\s+\\d+:\\s*(.+?)\\s*=====', 1)) AS organization_name FROM b),
     p AS (SELECT source, nr, organization_name, b, length(b) > 1000 AS long, unnest(CASE WHEN length(b) > 1000 THEN range(0, length(b), 500) ELSE [0] END) AS off FROM c),
     i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nr, off) - 1 AS chunk_index FROM p)
-    SELECT source, source || '_org_' || (chunk_index - CASE WHEN long THEN off // 500 ELSE 0 END) || CASE WHEN long THEN '_sub_' || (off // 500) ELSE '' END AS chunk_id, organization_name, chunk_index, CASE WHEN long THEN substr(b, off + 1, 500) ELSE b END AS content FROM i""")
+    SELECT source, source || '_org_' || chunk_index || CASE WHEN long THEN '_sub_' || (off // 500) ELSE '' END AS chunk_id, organization_name, chunk_index, CASE WHEN long THEN substr(b, off + 1, 500) ELSE b END AS content FROM i""")
 def org_chunks(spark, d):
     return structure.chunk_organisations(sheets(spark, d), "source", "t", 500)
 

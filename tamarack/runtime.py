@@ -1,4 +1,4 @@
-"""Session helpers: where tables are cut from their lineage, and how scans are spread over tasks."""
+"""Session helpers: where tables are cut from their lineage."""
 
 from __future__ import annotations
 
@@ -28,20 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder in the shared folder when it ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here and an executor's loss
     costs nothing that was done before."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that was read as fewer input splits than there are cores one task for each core. Tables of more
-    splits stay as they are, so nothing is shuffled at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -22,7 +22,7 @@ def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Tru
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     d = d.select("path", name.alias("file_name"), kind.alias("file_type"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("modified_time"), "content")
     known = ["txt", "md", "html", "htm", *BINARY]
-    text = F.decode("content", F.lit("utf-8"))
+    text = F.decode("content", "utf-8")
     body = F.when(F.col("file_type").isin("html", "htm"), html_text(text)).otherwise(text)
     if BINARY:
         adapters = dict(BINARY)
