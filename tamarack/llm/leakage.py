@@ -20,21 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.lookalike import Rewriter, rewriting
+from tamarack.llm.lookalike import rewriting
 
 _WORDS = re.compile(r"[^\W_]+")
-_FOLD: list[Rewriter] = []
+
+
+class _Fold(dict):
+    """Code point -> what it is read as: its class's plain form, decomposed, without accents and invisible characters, without
+    case. Made on demand; there are no more entries than code points."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.plain = rewriting({})
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", self.plain.get(chr(code), chr(code)))
+        kept = "".join(self.plain.get(c, c) for c in parts if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        self[code] = out = kept.casefold()
+        return out
+
+
+_FOLD: list[_Fold] = []
 
 
 def words_of(text: str | None) -> list[str]:
     """Words without case, accents, punctuation, line breaks and look-alike characters; none for null."""
     if not text:
         return []
-    if not text.isascii():
-        if not _FOLD:
-            _FOLD.append(Rewriter(rewriting({})))
-        text = "".join(c for c in unicodedata.normalize("NFKD", _FOLD[0](text)) if not unicodedata.combining(c))
-    return _WORDS.findall(text.casefold())
+    if text.isascii():
+        return _WORDS.findall(text.lower())
+    if not _FOLD:
+        _FOLD.append(_Fold())
+    return _WORDS.findall(text.translate(_FOLD[0]))
 
 
 class WuManber:
