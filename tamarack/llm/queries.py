@@ -95,7 +95,7 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     tables = _texts(spark, d)
     raw = _dictionaries(tables)
     a, b = (language.detected(df, raw, key, text, segments=True).select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), "segment_no", "lang", "confidence", "segment") for name, df, key, text in tables)
-    return a.union(b).distinct()
+    return a.union(b.distinct())  # only questions come twice
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
