@@ -41,6 +41,28 @@ def build(corpus: DataFrame, text: str = "text", bundle: Column | None = None, t
     return SparseIndex(postings, df, cut(lengths.join(mean, "bundle", "left"), "stats"))
 
 
+def upsert(index: SparseIndex, changed: DataFrame, text: str = "text", bundle: Column | None = None, tokenizer=tokens) -> DataFrame:
+    """Postings after documents were added or replaced, the last version of each id winning. Only the changed
+    documents are tokenised; frequencies and lengths follow from the postings."""
+    new = build(changed, text, bundle, tokenizer).postings
+    return index.postings.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.select(*index.postings.columns))
+
+
+def analyzed(language: str = "english"):
+    """A tokeniser without the stop words of a language."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = StopWordsRemover.loadDefaultStopWords(language)
+    return lambda text: F.filter(tokens(F.regexp_replace(text, r"[\p{Punct}]", " ")), lambda x: ~x.isin(*stop))
+
+
+def weighted_terms(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """Postings with their term frequencies replaced by given weights (doc_id, term, weight); terms without one are left out and
+    lengths are the sums of weights."""
+    d = postings.drop("tf", "dl").join(weights.where("weight > 0"), ["doc_id", "term"]).withColumnRenamed("weight", "tf")
+    return d.join(d.groupBy("bundle", "doc_id").agg(F.sum("tf").alias("dl")), ["bundle", "doc_id"])
+
+
 def okapi_idf0() -> Column:
     return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 

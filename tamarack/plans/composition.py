@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.operators import dense, ranking, sparse, training
+from tamarack.functions import text as T
+from tamarack.operators import dense, models, ranking, sparse, training
 from tamarack.plans import lexical, vectors
 from tamarack.plans import sql as S
 from tamarack.plans.registry import query, table
@@ -101,3 +102,45 @@ def margin_negatives(spark, d):
 @query(f"{RUN} SELECT concat_ws(chr(9), qid::VARCHAR, 'Q0', doc_id::VARCHAR, rank::VARCHAR, printf('%.6f', score), 'dot') AS line FROM run")
 def trec_run_lines(spark, d):
     return vectors.exact(spark, d).select(writers.run_line("dot").alias("line"))
+
+
+@query(
+    f"""WITH {S.index()}, {S.terms()}, {S.scored()}, f AS ({S.top("s", 20)}),
+    w AS (SELECT qid, f.doc_id, {S.TOKENS.format("q.text")} AS a, {S.TOKENS.format("trim(concat_ws(' ', documents.title, documents.text))")} AS b FROM f JOIN q USING (qid) JOIN documents USING (doc_id)),
+    s2 AS (SELECT qid, doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS score FROM w) {S.top("s2", 20)}"""
+)
+def rerank_by_model(spark, d):
+    """The best twenty ranked again by the stand-in for a cross-encoder."""
+    run = lexical.best(lexical.okapi(spark, d), 20)
+    return models.rerank(run, lexical.items(spark, d), lexical.docs(spark, d), models.OverlapReranker(), 20)
+
+
+@query()
+def encoded_topk(spark, d):
+    """Dense search over vectors of the stand-in encoder: items against all documents."""
+    model = models.HashEncoder()
+    c = lexical.docs(spark, d).select("doc_id", model.encode(models.passage_text(F.col("title"), F.col("text"))).alias("v"))
+    q = lexical.items(spark, d).select("qid", model.encode(F.col("text")).alias("v"))
+    return dense.search(c, q, 10, dense.cosine_scores, exclude_self=False)
+
+
+@query()
+def analyzed_topk(spark, d):
+    """Scoring without stop words."""
+    t = sparse.analyzed("english")
+    return lexical.best(sparse.bm25(sparse.build(lexical.docs(spark, d), tokenizer=t), sparse.query_terms(lexical.items(spark, d), tokenizer=t), "lucene", 1.2, 0.75))
+
+
+@query()
+def retrieval_rounds(spark, d):
+    """Two rounds of retrieve and append: each adds the first sentence of the best document for what there is so far."""
+    index, corpus = sparse.build(lexical.docs(spark, d)), lexical.docs(spark, d).select("doc_id", F.col("text").alias("t"))
+
+    def step(state):
+        asked = state.select("qid", F.concat_ws(" ", "text", "answer").alias("text"))
+        top = lexical.best(sparse.bm25(index, sparse.query_terms(asked)), 1).join(corpus, "doc_id").select("qid", T.first_sentence(F.col("t")).alias("more"))
+        nxt = state.join(top, "qid", "left")
+        return nxt.select("qid", "text", F.trim(F.concat_ws(" ", "answer", "more")).alias("answer"), (F.col("round") + 1).alias("round"))
+
+    start = lexical.items(spark, d).select("qid", "text", F.lit("").alias("answer"), F.lit(0).alias("round"))
+    return models.rounds(start, step, F.col("round") >= 2, 4).select("qid", "answer", "round")

@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import components, dense, metrics, prompts, ranking, sparse, structure, training
+from tamarack.operators import components, dense, metrics, models, prompts, ranking, sparse, structure, training
+from tamarack.plans.strategy import Strategy, broadcast_setting
 
 
 def rows(df, *columns):
@@ -160,3 +162,39 @@ def test_margin_negatives(spark):
     pos = spark.createDataFrame([(1, 10, 5.0)], "qid int, doc_id int, ce double")
     s = spark.createDataFrame([(1, 20, "a", 1, 4.9), (1, 21, "a", 2, 1.0), (1, 21, "b", 1, 1.0), (1, 22, "b", 2, 0.5), (1, 23, "b", 3, 0.1)], "qid int, doc_id int, system string, place int, ce double")
     assert rows(training.margin_negatives(s, pos, 1.0, 1), "doc_id", "system") == [(21, "a"), (22, "b")]
+
+
+def test_models(spark):
+    df = spark.createDataFrame([("a b c", "b c d", "We met Ana Maria in Paris", ["Ana", "Paris"], [-3.0, -0.01])], "q string, p string, t string, w array<string>, l array<double>")
+    tagger = models.CapitalTagger()
+    r = df.select(models.OverlapReranker().predict(F.col("q"), F.col("p")).alias("o"), models.HashEncoder(8).encode(F.col("q")).alias("v"), tagger.spans(F.col("t")).alias("e"), models.unsure_entities(tagger.spans(F.col("t")), F.col("w"), F.col("l"), 0.5).alias("u")).first()
+    assert r.o == 0.5 and sum(r.v) == 3 and "Ana Maria" in r.e and r.u == ["Ana Maria"]
+
+
+def test_rounds_stop(spark):
+    s = spark.createDataFrame([(1, 0), (2, 5)], "k int, n int")
+    out = models.rounds(s, lambda d: d.withColumn("n", F.col("n") + 2), F.col("n") >= 5, 10)
+    assert rows(out, "k", "n") == [(1, 6), (2, 5)]
+
+
+def test_upsert_and_weights(spark):
+    index = sparse.build(spark.createDataFrame([(1, "a a b"), (2, "c")], "doc_id long, text string"))
+    got = rows(sparse.upsert(index, spark.createDataFrame([(2, "d d"), (3, "a")], "doc_id long, text string")), "doc_id", "term", "tf")
+    assert got == [(1, "a", 2), (1, "b", 1), (2, "d", 2), (3, "a", 1)]
+    w = sparse.weighted_terms(index.postings, spark.createDataFrame([(1, "a", 4.0), (1, "b", 0.0)], "doc_id long, term string, weight double"))
+    assert rows(w, "doc_id", "term", "tf", "dl") == [(1, "a", 4.0, 4.0)]
+
+
+def test_strategy():
+    s = Strategy.of({"method": "dragin", "fewshot": 7, "index_paths": "x", "other": 1}, retrieve_topk=4)
+    assert s.fewshot == 5 and s.index_paths == ("x",) and s.retrieve_topk == 4
+    assert broadcast_setting("en", 3) == ["en"] * 3
+    for bad in ({}, {"method": "none-such"}, {"method": "token", "query_formulation": "?"}):
+        with pytest.raises(ValueError):
+            Strategy.of(bad)
+
+
+def test_pooling_and_late_interaction(spark):
+    df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [1.0, 1.0])], "h array<array<double>>, m array<double>")
+    r = df.select(dense.weighted_mean_pool(F.col("h"), F.col("m")).alias("p"), dense.max_sim(F.col("h"), F.col("h")).alias("s")).first()
+    assert np.allclose(r.p, [1 / 3, 2 / 3]) and r.s == 2.0
