@@ -132,7 +132,7 @@ class Detector:
     margin under which a segment's language is rejected; words: a segment of another language has at least so many.
     """
 
-    def __init__(self, raw: dict[str, bytes], switch: float = 11, split: float = 10, poor: float = 0.5, narrow: float = 0.06, words: int = 4) -> None:
+    def __init__(self, raw: dict[str, bytes], switch: float = 8, split: float = 8, poor: float = 0.4, narrow: float = 0.06, words: int = 4) -> None:
         self.d, self.switch, self.split, self.poor, self.narrow, self.words = Dictionaries(raw), switch, split, poor, narrow, words
 
     def _cut(self, unit: str, sizes: list[int], arabic: bool, depth: int = 0) -> list[tuple[str, list[int]]]:
