@@ -70,6 +70,12 @@ def units(text: str, shortest: int = 4, longest: int = 20) -> list[str]:
         if not parts:
             close()
         for w in parts:
+            if not arabic and w.isalpha():  # most words need no closer look
+                words.append(w)
+                real += 1
+                if real >= longest:
+                    close()
+                continue
             if w in _MARKS:
                 close()
                 continue
