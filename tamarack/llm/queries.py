@@ -68,10 +68,12 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that have to be written anew when the last month's partition arrives after all earlier ones were merged."""
+    """Pages that have to be written anew when the partition of the later half of the time arrives after the earlier one was
+    merged (rows without a time belong to the earlier)."""
     pages = _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")
-    last = pages.agg(F.date_trunc("month", F.max("ingested_at"))).first()[0]
-    new = F.coalesce(F.col("ingested_at") >= F.lit(last).cast("timestamp_ntz"), F.lit(False)) if last else F.lit(False)
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    low, high = pages.agg(F.min(at), F.max(at)).first()
+    new = F.coalesce(at > F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
     return _ledger(spark, pages.where(~new), pages.where(new)).rebuild(pages)
 
 
