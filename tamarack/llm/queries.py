@@ -68,13 +68,17 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that have to be written anew when the partition of the later half of the time arrives after the earlier one was
-    merged (rows without a time belong to the earlier)."""
+    """Every month's pages merged as a partition of their own, in order: the pages there are by then that had to be written anew
+    because one of their lines crossed. Rows without a time come with the first month. The months are a short list."""
     pages = _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")
-    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
-    low, high = pages.agg(F.min(at), F.max(at)).first()
-    new = F.coalesce(at > F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
-    return _ledger(spark, pages.where(~new), pages.where(new)).rebuild(pages)
+    months = [r[0] for r in pages.select(F.date_trunc("month", "ingested_at").alias("m")).where("m is not null").distinct().orderBy("m").collect()]
+    pages = pages.withColumn("m", F.coalesce(F.date_trunc("month", "ingested_at"), F.lit(months[0] if months else None).cast("timestamp_ntz").cast("timestamp")))
+    ledger, done = boilerplate.LineLedger(spark), None
+    for k, m in enumerate(months):
+        ledger.merge(pages.where(F.col("m") == F.lit(m)), "site", "text")
+        again = ledger.rebuild(pages.where(F.col("m") <= F.lit(m))).select(F.lit(k + 1).alias("partition_no"), "page_id", "clean_text")
+        done = again if done is None else done.unionByName(again)
+    return spark.createDataFrame([], "partition_no int, page_id long, clean_text string") if done is None else done
 
 
 def _texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
