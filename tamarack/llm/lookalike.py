@@ -127,6 +127,8 @@ class Rewriter:
 
         self.table = table
         self.plain = not any(k.isascii() for k in table)
+        # Where no member is plain ASCII, each holds one of these, and a composed text without any of them stays as it is.
+        self.needs = frozenset(c for k in table for c in k if not c.isascii())
         self.auto = ahocorasick.Automaton()
         for k, v in table.items():
             self.auto.add_word(k, (len(k), v))
@@ -134,7 +136,9 @@ class Rewriter:
             self.auto.make_automaton()
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or self.plain and text.isascii() or not self.table:
+        if not text or not self.table:
+            return text
+        if self.plain and (text.isascii() or self.needs.isdisjoint(text) and unicodedata.is_normalized("NFC", text)):
             return text
         for _ in range(4):  # composing may make a new member, such as a look-alike letter that took an accent
             if (done := self._once(text)) == text:
