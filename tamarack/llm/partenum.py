@@ -1,17 +1,15 @@
-"""Groups of near-duplicate texts by PartEnum signatures (problem 3).
-
-A text is the set of its runs of ``width`` words, hashed. Sets whose sizes allow the wanted similarity are compared in a
-band of sizes (a set belongs to its own band and the next one, as a partner may be up to twice as large). A band
-splits the hashed domain into n1 partitions and each of these into three; a signature is a set's projection onto two of the
-three, with its place. Sets that differ in at most 2 * n1 - 1 elements must have a partition with at most one difference, and
-share one of its three signatures; below that the share of common signatures falls gradually, and with the parameters
-used nearly all pairs of similarity 0.5 to 0.6 still share one (measured in the README).
-Projections of fewer than ``least`` elements give no signature.
-
-Equal sets are one node. Signatures travel packed, 12 bytes each, grouped by their prefix; a signature that is frequent
-within a batch is linked there and goes on only through a few of its members, so that a hot signature costs a bounded
-number of rows for each batch. Members of one signature are linked as a chain in the order of their sketches and to the first,
-never all with all. Links are pruned by sketches, then confirmed by exact similarity, and closed to groups.
+"""Groups of near-duplicate texts by an exact prefix filter (problem 3).
+
+A text is the set of its runs of ``width`` words, hashed. All runs stand in one order, rare ones first; any order is right, a
+sample of the texts only makes it a good one. Where two sets are similar enough, their first common run stands so early in both
+that what follows it can still hold the overlap their sizes ask for. So a set goes out under those of its first runs
+after which a set of an allowed size could still be similar (about half of the runs at similarity 0.5), each with the
+largest size a partner may have there; within a run, every two sets whose sizes allow each other are compared. No similar pair is
+left out at any size or frequency; the only loss is at the sketches, which are set ``sigmas`` below the wanted similarity.
+
+Equal sets are one node. Entries travel grouped by a prefix of their run, 8 bytes each and a head for each set. Pairs are pruned by
+size, place and sketches, then confirmed by exact similarity, and closed to groups. The number of pairs looked at grows with
+the square of a run's frequency.
 """
 
 from __future__ import annotations
@@ -28,6 +26,9 @@ from tamarack.operators.components import connected_components
 from tamarack.runtime import cut
 
 _WORD = re.compile(r"\w+")
+#: Words of 64 sketch bits for each set; of the first, 40 bits are kept in the node.
+WORDS = 5
+BITS = 40 + 64 * (WORDS - 1)
 #: Odd constants that mix 64-bit hashes.
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _S = np.uint64(32)
@@ -68,15 +69,26 @@ def similarity(a: set, b: set) -> float:
     return c / (len(a) + len(b) - c) if a or b else 0.0
 
 
-def partitions(band: int, per: float) -> int:
-    """n1 of a band: with 1.5 * 2**band elements a partition holds ``per`` on average."""
-    return max(1, int(np.ceil(1.5 * 2.0**band / per)))
+def rare_first(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, common: np.ndarray, often: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, row, limit) of the runs that each set goes out under. ``h`` is sorted within each row; ``common`` are the sorted hashes
+    of runs known to be frequent and ``often`` their counts. ``limit`` is the size of the largest set that can be
+    similar when this is the first common run."""
+    count = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        count = np.where(common[at] == h, often[at], 0)
+    order = np.argsort((row << 32) + count, kind="stable")
+    z = sizes[row]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    limit = np.floor((z - place) * (1 + threshold) / threshold - z + 1e-6).astype(np.int64)
+    keep = limit >= threshold * z - 1e-6
+    return h[order][keep], row[keep], limit[keep]
 
 
 def sketches(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Three words of 64 bits for each of n sets: a bit is the lowest bit of the smallest hash in one of 64 bins."""
-    out = np.zeros((n, 3), np.uint64)
-    for k in range(3):
+    """``WORDS`` words of 64 bits for each of n sets: a bit is the lowest bit of the smallest hash in one of 64 bins."""
+    out = np.zeros((n, WORDS), np.uint64)
+    for k in range(WORDS):
         g = mixed(h + _B * np.arange(k + 11, k + 12, dtype=np.uint64))
         low = np.full(n * 64, np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(low, row * 64 + (g & np.uint64(63)).astype(np.int64), g >> np.uint64(6))
@@ -85,36 +97,6 @@ def sketches(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, per: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of all sets, given as one array of elements with the row of each."""
-    out_s, out_r = [], []
-    own = np.maximum(4, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64))
-    for step in (0, 1):
-        band = own + step
-        for b in np.unique(band):
-            chosen = np.nonzero(band == b)[0]
-            place = np.full(len(sizes), -1, np.int64)
-            place[chosen] = np.arange(len(chosen))
-            here = place[row]
-            keep = here >= 0
-            n1 = partitions(int(b), per)
-            g = mixed(h[keep] + _B * np.arange(b, b + 1, dtype=np.uint64))
-            cell = (here[keep] * n1 + (g % np.uint64(n1)).astype(np.int64)) * 3 + ((g >> np.uint64(40)) % np.uint64(3)).astype(np.int64)
-            total = np.zeros(len(chosen) * n1 * 3, np.uint64)
-            np.add.at(total, cell, mixed(g ^ _A))
-            count = np.bincount(cell, minlength=len(total)).reshape(-1, 3)
-            total = total.reshape(-1, 3)
-            all_t, all_c = total.sum(1, dtype=np.uint64), count.sum(1)
-            for out in range(3):
-                at = np.nonzero(all_c - count[:, out] >= least)[0]
-                where = (at % n1).astype(np.uint64) * np.uint64(4) + np.uint64(out) + np.uint64(int(b) << 48)
-                out_s.append(mixed((all_t[at] - total[at, out]) ^ mixed(where + _A)))
-                out_r.append(chosen[at // n1])
-    if not out_s:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_r)
-
-
 def chain(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) within equal signatures: each member to the one and the two before it, and to the first."""
     order = np.lexsort((node, sig))
@@ -130,19 +112,70 @@ def chain(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _pack(sig: np.ndarray, node: np.ndarray, prefixes: int) -> tuple[list[int], list[bytes]]:
-    """Blobs by prefix: the 32 upper bits of the signatures, then the nodes."""
-    p = (sig % np.uint64(prefixes)).astype(np.int64)
+def _pack(run: np.ndarray, row: np.ndarray, limit: np.ndarray, heads: np.ndarray, prefixes: int) -> tuple[list[int], list[bytes]]:
+    """Blobs by prefix: the number of sets, their heads (node, size, sketches), their numbers of runs, the upper 32 bits of the
+    runs, the limits."""
+    p = (run % np.uint64(prefixes)).astype(np.int64)
     order = np.argsort(p, kind="stable")
-    p, top, node = p[order], (sig[order] >> _S).astype(np.uint32), node[order]
+    p, row, top, limit = p[order], row[order], (run[order] >> _S).astype(np.uint32), limit[order].astype(np.uint32)
     starts = np.concatenate((np.nonzero(np.concatenate(([True], p[1:] != p[:-1])))[0], [len(p)])) if len(p) else np.zeros(0, np.int64)
     keys, blobs = [], []
     for s, e in zip(starts[:-1], starts[1:]):
+        rows, n = np.unique(row[s:e], return_counts=True)
         keys.append(int(p[s]))
-        blobs.append(top[s:e].tobytes() + node[s:e].tobytes())
+        blobs.append(np.array([len(rows)], np.uint32).tobytes() + heads[:, rows].tobytes() + n.astype(np.uint32).tobytes() + top[s:e].tobytes() + limit[s:e].tobytes())
     return keys, blobs
 
 
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(heads, row, top, limit) of all blobs of a prefix; equal sets of several blobs come once."""
+    heads, counts, top, limit = [], [], [], []
+    for x in blobs:
+        n = int(np.frombuffer(x, np.uint32, 1)[0])
+        size = 8 * (WORDS + 1) * n
+        heads.append(np.frombuffer(x, np.uint64, size // 8, 4).reshape(-1, n))
+        counts.append(np.frombuffer(x, np.uint32, n, 4 + size))
+        rest = np.frombuffer(x, np.uint32, -1, 4 + size + 4 * n).reshape(2, -1)
+        top.append(rest[0])
+        limit.append(rest[1])
+    h, n = np.concatenate(heads, 1), np.concatenate(counts)
+    row = np.repeat(np.arange(len(n)), n)
+    _, first, back = np.unique(h[0], return_index=True, return_inverse=True)
+    once = first[back][row] == row
+    return h, row[once], np.concatenate(top)[once], np.concatenate(limit)[once]
+
+
+def similar_pairs(heads: np.ndarray, row: np.ndarray, top: np.ndarray, limit: np.ndarray, least_bits: int, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (a, b) that share a run, allow each other's sizes there and agree in ``least_bits`` of ``BITS`` sketch bits."""
+    z = heads[1][row]
+    order = np.lexsort((z, top))
+    row, z, limit, top = row[order], z[order], limit[order].astype(np.uint64), top[order].astype(np.uint64) << _S
+    upto = np.searchsorted(top | z, top | limit, side="right")
+    many = np.maximum(0, upto - np.arange(len(row)) - 1)
+    ends = np.cumsum(many)
+    node, n, begin = heads[0], np.int64(heads.shape[1]), 0
+    words = [node >> np.uint64(24), *heads[2:]]
+    found = [np.zeros(0, np.int64)]
+    while begin < len(row):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + at_once, side="right")))
+        m = many[begin:end]
+        i = np.repeat(np.arange(begin, end), m)
+        j = np.arange(len(i)) - np.repeat(ends[begin:end] - m - done, m) + i + 1
+        ok = limit[j] >= z[i]
+        a, b = row[i[ok]], row[j[ok]]
+        differ = np.zeros(len(a), np.int64)
+        for w in reversed(words):
+            differ += np.bitwise_count(w[a] ^ w[b])
+            near = differ <= BITS - least_bits
+            a, b, differ = a[near], b[near], differ[near]
+        found.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
+        begin = end
+    pair = np.unique(np.concatenate(found))
+    a, b = node[pair // n], node[pair % n]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _hot(sig: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Link signatures with more than ``most`` members within this batch here: each link goes on as a signature of its own
     that has two members, and the signature itself keeps ``most`` members, evenly spread over the sketch order."""
@@ -160,13 +193,31 @@ def _hot(sig: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return np.concatenate((sig[~hot], hs[kept], own, own)), np.concatenate((node[~hot], hn[kept], a, b))
 
 
-def candidate_links(df: DataFrame, key: str, text: str, width: int = 3, least_words: int = 20, per: float = 7.0, least: int = 4, prefixes: int | None = None, most: int = 32) -> DataFrame:
-    """A written table (kind, a, b, s1, s2): kind 1 has a row for each text, a its key, b its node (equal sets have one), s1 and
-    s2 its sketches; kind 0 has the links between nodes. ``prefixes`` follows the number of rows, so that the signatures of
-    one prefix are about a million whatever the corpus."""
+def common_runs(d: DataFrame, part: float, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the runs that are on more than one text of a sample, and on how many. It only serves the order of runs."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Hash()
+        for b in batches:
+            sets = [h for t in b.column(0).to_pylist() if (h := shingle_hashes(t, width, least_words, table)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sets], pa.binary())], ["blob"])
+
+    chosen = d.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(part * (1 << 20))).where(F.length("t") < 20_000).select("t")
+    blobs = [np.frombuffer(r[0], np.uint64) for r in chosen.mapInArrow(hashed, "blob binary").collect()]
+    values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *blobs]), return_counts=True)
+    return values[n > 1], n[n > 1]
+
+
+def candidate_links(df: DataFrame, key: str, text: str, threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0, prefixes: int | None = None, sample: int = 8_000) -> DataFrame:
+    """A written table (kind, a, b): kind 1 has a row for each text, a its key, b its node (equal sets have one); kind 0 has the links
+    between nodes. ``prefixes`` follows the number of rows, so that the entries of one prefix are about a million
+    whatever the corpus; the order of runs comes from about ``sample`` texts."""
     d = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    rows = d.count()
     if prefixes is None:
-        prefixes = max(64, d.count() // 10_000)
+        prefixes = max(16, rows // 10_000)
+    order = d.sparkSession.sparkContext.broadcast(common_runs(d, min(1.0, sample / max(1, rows)), width, least_words))
+    least_bits = bits_needed(threshold, BITS, sigmas)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = _Hash(), set()
@@ -177,7 +228,7 @@ def candidate_links(df: DataFrame, key: str, text: str, width: int = 3, least_wo
             sk = sketches(h, row, len(sets))
             total = np.zeros(len(sets), np.uint64)
             np.add.at(total, row, mixed(h + _C))
-            # 40 bits of sketch put similar sets next to each other in a chain; the other 24 tell sets apart
+            # 40 bits of sketch, the other 24 tell sets apart
             node = (sk[:, 0] & ~np.uint64(0xFFFFFF)) | (mixed(total) >> np.uint64(40))
             new = np.zeros(len(sets), bool)
             for i, x in enumerate(node.tolist()):
@@ -185,10 +236,10 @@ def candidate_links(df: DataFrame, key: str, text: str, width: int = 3, least_wo
                     seen.add(x)
                     new[i] = True
             place, keep = np.cumsum(new) - 1, new[row]
-            sig, at = signatures(h[keep], place[row[keep]], sizes[new], per, least)
-            ps, blobs = _pack(*_hot(sig, node[new][at], most), prefixes)
+            heads = np.stack((node[new], sizes[new].astype(np.uint64), *sk[new, 1:].T))
+            ps, blobs = _pack(*rare_first(h[keep], place[row[keep]], sizes[new], *order.value, threshold), heads, prefixes)
             ps.append(-1 - int(mixed(node[:1])[0] % np.uint64(prefixes)))
-            blobs.append(np.array(keys, np.int64).tobytes() + node.tobytes() + sk[:, 1].tobytes() + sk[:, 2].tobytes())
+            blobs.append(np.array(keys, np.int64).tobytes() + node.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
 
         for b in batches:
@@ -207,19 +258,15 @@ def candidate_links(df: DataFrame, key: str, text: str, width: int = 3, least_wo
     def link(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group.column("blob")]
         if group.column("p")[0].as_py() < 0:
-            parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in blobs]
-            a, b, s1, s2 = np.concatenate(parts, 1)
+            a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs], 1)
             kind = np.ones(len(a), np.int32)
         else:
-            sig = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12) for x in blobs])
-            node = np.concatenate([np.frombuffer(x[len(x) // 12 * 4 :], np.uint64) for x in blobs])
-            a, b = (x.view(np.int64) for x in map(np.ascontiguousarray, chain(sig, node)))
-            s1 = s2 = np.zeros(len(a), np.int64)
+            a, b = (x.view(np.int64) for x in similar_pairs(*_unpack(blobs), least_bits))
             kind = np.zeros(len(a), np.int32)
-        return pa.table({"kind": kind, "a": a, "b": b, "s1": s1, "s2": s2})
+        return pa.table({"kind": kind, "a": a, "b": b})
 
     packed = d.mapInArrow(emit, "p int, blob binary")
-    return cut(packed.groupBy("p").applyInArrow(link, "kind int, a long, b long, s1 long, s2 long"), "partenum")
+    return cut(packed.groupBy("p").applyInArrow(link, "kind int, a long, b long"), "partenum")
 
 
 def bits_needed(threshold: float, bits: int, sigmas: float) -> int:
@@ -228,23 +275,20 @@ def bits_needed(threshold: float, bits: int, sigmas: float) -> int:
     return int(np.floor(bits * p - sigmas * np.sqrt(bits * p * (1 - p))))
 
 
-def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text", threshold: float = 0.5, width: int = 3, least_words: int = 20, per: float = 7.0, least: int = 4, sigmas: float = 3.2) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text", threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0) -> DataFrame:
     """(``key``, group_id, links): a row for each text of at least ``least_words`` words. ``group_id`` is the same for all
-    members of a group (of one, where nothing is similar); ``links`` counts the confirmed similar texts that the
-    search linked the text's set to. Null and shorter texts have no row; keys must be whole numbers.
+    members of a group (of one, where nothing is similar); ``links`` counts all other
+    sets of runs that are similar to the text's. Null and shorter texts have no row; keys must be whole numbers.
 
     Two texts are linked when they share at least ``threshold`` of their distinct runs of ``width`` words; groups are
     closed under links. Texts with equal sets are always in one group.
     """
-    found = candidate_links(df, key, text, width, least_words, per, least)
-    nodes = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("node"), "s1", "s2")
+    found = candidate_links(df, key, text, threshold, width, least_words, sigmas)
+    nodes = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("node"))
     links = found.where("kind = 0").select("a", "b").distinct()
-    own = nodes.groupBy("node").agg(F.min("k").alias("k"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    side = lambda n: own.select(F.col("node").alias(n), F.col("k").alias(f"k{n}"), F.col("s1").alias(f"s1{n}"), F.col("s2").alias(f"s2{n}"))
-    alike = F.lit(40) - F.bit_count(F.shiftright(F.col("a").bitwiseXOR(F.col("b")), 24).bitwiseAND(F.lit((1 << 40) - 1)))
-    links = links.where(alike >= bits_needed(threshold, 40, sigmas)).join(side("a"), "a").join(side("b"), "b")
-    differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
-    links = cut(links.where(F.lit(168) - differ - F.lit(40) + alike >= bits_needed(threshold, 168, sigmas)).select("a", "b", "ka", "kb"), "links")
+    own = nodes.groupBy("node").agg(F.min("k").alias("k"))
+    side = lambda n: own.select(F.col("node").alias(n), F.col("k").alias(f"k{n}"))
+    links = cut(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb"), "links")
     wanted = links.select(F.col("ka").alias("k")).union(links.select("kb")).distinct()
     texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi")
     texts = cut(texts, "texts")

@@ -73,3 +73,25 @@ def test_copies_of_one_text_and_empty_tables(spark):
     df = spark.createDataFrame([(k, t) for k in range(300)] + [(999, None)], "page_id long, text string").withColumnRenamed("page_id", "node")
     assert P.near_duplicate_groups(df, "node").select("group_id").distinct().count() == 1
     assert P.near_duplicate_groups(df.limit(0), "node").count() == 0
+
+
+def near(r, t, words):
+    """The words of t with changes until 0.5 to 0.6 of the runs are shared; null if that is missed."""
+    runs, w = (lambda x: set(zip(x, x[1:], x[2:]))), list(t)
+    while (s := P.similarity(runs(t), runs(w))) > 0.6:
+        w[r.randrange(len(w))] = r.choice(words)
+    return w if s >= 0.5 else None
+
+
+def test_small_texts_of_just_the_wanted_similarity_are_found(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    rows, k = [], 0
+    while k < 400:
+        t = [r.choice(words) for _ in range(r.randint(20, 100))]
+        if w := near(r, t, words):
+            rows += [(k, " ".join(t)), (k + 1, " ".join(w))]
+            k += 2
+    groups = P.near_duplicate_groups(spark.createDataFrame(rows, "page_id long, text string"))
+    got = {tuple(x) for x in P.pairs_within_groups(groups).collect()}
+    assert len(brute(rows)) >= 200 and got == brute(rows)
