@@ -95,3 +95,15 @@ def test_small_texts_of_just_the_wanted_similarity_are_found(spark):
     groups = P.near_duplicate_groups(spark.createDataFrame(rows, "page_id long, text string"))
     got = {tuple(x) for x in P.pairs_within_groups(groups).collect()}
     assert len(brute(rows)) >= 200 and got == brute(rows)
+
+
+def test_pairs_that_share_only_frequent_runs_are_found(spark):
+    r = random.Random(6)
+    standing = [" ".join(f"s{p}x{k}" for k in range(12)) for p in range(16)]
+    rows = [(k, " ".join(standing[p] for p in r.sample(range(16), 6))) for k in range(300)]
+    s = sets(rows)
+    links = {a: sum(a != b and P.similarity(s[a], s[b]) >= 0.5 for b in s) for a in s}
+    groups = P.near_duplicate_groups(spark.createDataFrame(rows, "page_id long, text string")).collect()
+    assert sum(links.values()) > 400 and {x.page_id: x.links for x in groups} == links
+    got = {(a.page_id, b.page_id) for a in groups for b in groups if a.page_id < b.page_id and a.group_id == b.group_id}
+    assert got == brute(rows)
