@@ -104,6 +104,20 @@ def binary_search(corpus: DataFrame, queries: DataFrame, k: int, candidates: int
     return top_k(d, ["qid"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def reranked(near: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
+    """The best ``k`` of the pairs (qid, doc_id) by their exact product, or cosine; zero vectors have cosine 0."""
+    d = near.join(corpus.select("doc_id", "v"), "doc_id").join(queries.select("qid", F.col("v").alias("qv")), "qid")
+    s = vector_dot(F.col("qv"), F.col("v"))
+    if cosine:
+        s = F.coalesce(F.try_divide(s, F.sqrt(vector_dot(F.col("qv"), F.col("qv")) * vector_dot(F.col("v"), F.col("v")))), F.lit(0.0))
+    return top_k(d.select("qid", "doc_id", F.round(s, 6).alias("score")), ["qid"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def candidates(corpus: DataFrame, share: float, least: int) -> int:
+    """How many are reranked: a share of the table, so that recall doesn't fall as it grows."""
+    return max(least, int(np.ceil(share * corpus.count())))
+
+
 def vector_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -166,9 +180,9 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int | None
     return search(corpus, queries, k, in_cells)
 
 
-def pq_search(corpus: DataFrame, queries: DataFrame, k: int, parts: int = 16, bits: int = 8) -> DataFrame:
-    """Product quantisation: each of ``parts`` sub-vectors is replaced by its nearest of 2**bits centroids; a score is the sum of
-    the query's products with them."""
+def pq_search(corpus: DataFrame, queries: DataFrame, k: int, parts: int = 16, bits: int = 8, share: float = 0.05, least: int = 100) -> DataFrame:
+    """Product quantisation: each of ``parts`` sub-vectors is replaced by its nearest of 2**bits centroids; the sum of the
+    query's products with them chooses candidates (``share`` of the table, at least ``least``), the exact product ranks them."""
     x = sample_of(corpus)
     if not len(x):
         return search(corpus, queries, k)
@@ -180,11 +194,13 @@ def pq_search(corpus: DataFrame, queries: DataFrame, k: int, parts: int = 16, bi
             out += (qs @ book.T)[:, l2_scores(xs, book).argmax(1)]
         return out
 
-    return search(corpus, queries, k, coded)
+    near = search(corpus, queries, candidates(corpus, share, max(k, least)), coded).select("qid", "doc_id")
+    return reranked(near, corpus, queries, k)
 
 
-def pca_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 32) -> DataFrame:
-    """Cosine search on the first ``dims`` principal directions. Means and products are summed over all rows."""
+def pca_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 32, share: float = 0.15, least: int = 300) -> DataFrame:
+    """Cosine search: the first ``dims`` principal directions choose candidates (``share`` of the table, at least ``least``), the
+    exact cosine ranks them. Means and products are summed over all rows."""
     size = corpus.where("v is not null").select(F.size("v")).first()
     if size is None:
         return search(corpus, queries, k)
@@ -202,7 +218,8 @@ def pca_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 32) ->
     mean = all_[:n] / m
     _, v = np.linalg.eigh(all_[n:].reshape(n, n) / m - np.outer(mean, mean))
     turn = v[:, ::-1][:, :dims]
-    return search(corpus, queries, k, lambda q, x: cosine_scores((q - mean) @ turn, (x - mean) @ turn))
+    near = search(corpus, queries, candidates(corpus, share, max(k, least)), lambda q, x: cosine_scores((q - mean) @ turn, (x - mean) @ turn)).select("qid", "doc_id")
+    return reranked(near, corpus, queries, k, cosine=True)
 
 
 def weighted_mean_pool(states: Column, mask: Column) -> Column:

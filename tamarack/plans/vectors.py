@@ -102,7 +102,7 @@ def dense_bundle_merge(spark, d):
 
 @query()
 def dense_ivf_topk(spark, d):
-    return dense.ivf_search(corpus(spark, d), asked(spark, d), 10, probes=16)
+    return dense.ivf_search(corpus(spark, d), asked(spark, d), 10, probes=64)
 
 
 @query()

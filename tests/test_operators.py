@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -198,3 +199,16 @@ def test_pooling_and_late_interaction(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [1.0, 1.0])], "h array<array<double>>, m array<double>")
     r = df.select(dense.weighted_mean_pool(F.col("h"), F.col("m")).alias("p"), dense.max_sim(F.col("h"), F.col("h")).alias("s")).first()
     assert np.allclose(r.p, [1 / 3, 2 / 3]) and r.s == 2.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_registered_approximate_searches_keep_nine_of_ten(spark):
+    from tamarack.plans import vectors as plans
+
+    d = "/root/testdata/sf0.1"
+    pairs = lambda df: {(r.qid, r.doc_id) for r in df.collect()}
+    for found, score in ((plans.dense_ivf_topk, dense.l2_scores), (plans.dense_pq_topk, dense.dot_scores), (plans.dense_pca_topk, dense.cosine_scores)):
+        want = pairs(plans.exact(spark, d, score=score))
+        share = len(want & pairs(found(spark, d))) / len(want)
+        print(found.__name__, round(share, 3))
+        assert share >= 0.9
