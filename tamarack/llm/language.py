@@ -46,18 +46,24 @@ _ARABIC = re.compile(r"[\u0600-\u06ff]")
 _STOP, _MARKS = frozenset(".!?…؟。,;:،؛)"), frozenset(("*", "•", ">", ">>", "|", "/", "—", "-", "·"))
 
 
+def _body(text: str) -> str:
+    """A text in lower case without the header lines at its begin; blank lines hold a mark."""
+    lines = text.lower().split("\n")
+    k = 0
+    while k < len(lines) - 1 and (_HEAD.fullmatch(lines[k].strip()) or not lines[k].strip()):
+        k += 1
+    return "\n".join(x if x and not x.isspace() else "*" for x in lines[k:])
+
+
 def units(text: str, shortest: int = 4, longest: int = 20) -> list[str]:
     """Clauses in lower case, each on one line, without header lines at the begin; words with digits and links become
     ``0``. A clause ends at punctuation, a blank line, a bullet or a change of script; one of fewer than ``shortest`` words joins
     the next one of its script (the last the one before); a stretch without punctuation is cut after ``longest`` words."""
-    lines = text.split("\n")
-    k = 0
-    while k < len(lines) - 1 and k < 4 and (_HEAD.fullmatch(lines[k].strip()) or not lines[k].strip()):
-        k += 1
     arabic = bool(_ARABIC.search(text))
+    all_words = _body(text).split()
     out: list[str] = []
     words: list[str] = []
-    real = script = 0
+    real = script = at = 0
 
     def close() -> None:
         nonlocal words, real
@@ -65,37 +71,42 @@ def units(text: str, shortest: int = 4, longest: int = 20) -> list[str]:
             out.append(" ".join(words))
             words, real = [], 0
 
-    for line in lines[k:]:
-        parts = line.lower().split()
-        if not parts:
+    def plain(upto: int) -> None:
+        """Words of letters only: they need no closer look."""
+        nonlocal real, at
+        while upto - at >= longest - real:
+            take = at + longest - real
+            words.extend(all_words[at:take])
+            at, real = take, longest
             close()
-        for w in parts:
-            if not arabic and w.isalpha():  # most words need no closer look
-                words.append(w)
-                real += 1
-                if real >= longest:
-                    close()
-                continue
-            if w in _MARKS:
-                close()
-                continue
-            if not w.isalpha() and _DEAD.search(w):
-                w = "0" + (w[-1] if w[-1] in _STOP else "")
-            elif arabic:
-                if (now := 1 if _ARABIC.search(w) else 2 if w[0].isalpha() else script) != script and words:
-                    if script:
-                        if real < shortest and out and bool(_ARABIC.search(out[-1])) == (script == 1):
-                            out[-1] += " " + " ".join(words)
-                        elif real >= shortest - 1:
-                            out.append(" ".join(words))
-                        words, real = [], 0
-                script = now
-                real += 1
-            else:
-                real += w[0].isalpha() or len(w) > 1
-            words.append(w)
-            if w[-1] in _STOP or real >= longest:
-                close()
+        words.extend(all_words[at:upto])
+        real += upto - at
+
+    for i in [i for i, w in enumerate(all_words) if arabic or not w.isalpha()]:
+        w = all_words[i]
+        plain(i)
+        at = i + 1
+        if w in _MARKS:
+            close()
+            continue
+        if not w.isalpha() and _DEAD.search(w):
+            w = "0" + (w[-1] if w[-1] in _STOP else "")
+        elif arabic:
+            if (now := 1 if _ARABIC.search(w) else 2 if w[0].isalpha() else script) != script and words:
+                if script:
+                    if real < shortest and out and bool(_ARABIC.search(out[-1])) == (script == 1):
+                        out[-1] += " " + " ".join(words)
+                    elif real >= shortest - 1:
+                        out.append(" ".join(words))
+                    words, real = [], 0
+            script = now
+            real += 1
+        else:
+            real += w[0].isalpha() or len(w) > 1
+        words.append(w)
+        if w[-1] in _STOP or real >= longest:
+            close()
+    plain(len(all_words))
     close()
     if words and out and bool(_ARABIC.search(out[-1])) == bool(_ARABIC.search(" ".join(words))):
         out[-1] += " " + " ".join(words)
@@ -108,63 +119,105 @@ class Dictionaries:
     """Compressors by language. raw: language -> dictionary content."""
 
     LEVEL = 3
+    #: Sizes of so many pieces are remembered; the memory is emptied when it is full.
+    KNOWN = 200_000
 
     def __init__(self, raw: dict[str, bytes]) -> None:
         import zstandard as z
 
         self.langs = sorted(raw)
         self.arabic = self.langs.index("ar") if "ar" in raw and len(raw) > 1 else None
+        self.known: dict[str, list[int]] = {}
         self.by = []
         for lang in self.langs:
             d = z.ZstdCompressionDict(raw[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=self.LEVEL)
             self.by.append(z.ZstdCompressor(level=self.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-        self.other = [c for k, c in enumerate(self.by) if k != self.arabic]
-
-    def sizes(self, piece: str, arabic: bool = True) -> list[int]:
-        b = piece.encode("utf-8", "replace")
-        if self.arabic is None or arabic and _ARABIC.search(piece):
-            return [len(c(b)) for c in self.by]
-        out = [len(c(b)) for c in self.other]
-        out.insert(self.arabic, len(b) + 16)  # what doesn't hold a letter of its script can't be it
-        return out
+
+    def sizes(self, pieces: Iterable[str]) -> dict[str, list[int]]:
+        """Encoded sizes of pieces in every language, in the order of ``langs``. Pieces go through one dictionary after the other,
+        so that its tables stay in the processor's cache."""
+        if len(self.known) > self.KNOWN:
+            self.known = {}
+        known = self.known
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        coded = [p.encode("utf-8", "replace") for p in new]
+        columns = []
+        for k, c in enumerate(self.by):
+            if k == self.arabic:  # what doesn't hold a letter of its script can't be it
+                columns.append([len(c(b)) if len(b) > len(p) and _ARABIC.search(p) else len(b) + 16 for p, b in zip(new, coded)])
+            else:
+                columns.append([*map(len, map(c, coded))])
+        known.update(zip(new, map(list, zip(*columns))))
+        return known
 
 
 class Detector:
     """Segments of a text with their languages.
 
     switch: bytes that a change of language between two sentences has to save; split: bytes that a change within a sentence
-    has to save; poor: encoded bytes for each byte above which a sentence is searched for a change; narrow: relative
-    margin under which a segment's language is rejected; words: a segment of another language has at least so many.
+    has to save; narrow: relative margin under which a segment's language is rejected; words: a segment of another
+    language has at least so many.
     """
 
-    def __init__(self, raw: dict[str, bytes], switch: float = 8, split: float = 8, poor: float = 0.4, narrow: float = 0.06, words: int = 4) -> None:
-        self.d, self.switch, self.split, self.poor, self.narrow, self.words = Dictionaries(raw), switch, split, poor, narrow, words
-
-    def _cut(self, unit: str, sizes: list[int], arabic: bool, depth: int = 0) -> list[tuple[str, list[int]]]:
-        words = unit.split(" ")
-        n, best = len(words), min(sizes)
-        if n < 2 * self.words or depth == 3 or best < self.poor * len(unit.encode("utf-8", "replace")):
-            return [(unit, sizes)]
+    #: Bytes that any encoding has besides its content, and that any has at least.
+    FRAME, LEAST = 5, 13
+
+    def __init__(self, raw: dict[str, bytes], switch: float = 8, split: float = 8, narrow: float = 0.06, words: int = 4) -> None:
+        self.d, self.switch, self.split, self.narrow, self.words = Dictionaries(raw), switch, split, narrow, words
+        self.done: dict[str, list[tuple[str, list[int]]]] = {}
+
+    def pieces(self, units: Iterable[str]) -> dict[str, list[tuple[str, list[int]]]]:
+        """Each clause cut where its language changes: clause -> pieces with their sizes. All clauses go through a round together,
+        and what is cut comes again in the next one. Clauses seen before are remembered within bounds."""
+        halves: dict[str, tuple[str, str]] = {}
+        if len(self.done) > self.d.KNOWN:
+            self.done = {}
+        all_units = now = [u for u in dict.fromkeys(units) if u not in self.done]
+        size = self.d.sizes(now)
+        own = {u: size[u] for u in now}
         low = self.words - 1
-        # a change has to show in stretches of a few words before all places are tried
-        main, n_parts = sizes.index(best), max(2, n // 5)
-        for k in range(n_parts):
-            part = self.d.sizes(" ".join(words[n * k // n_parts : n * (k + 1) // n_parts]), arabic)
-            if part[main] - min(part) >= 3:
-                break
-        else:
-            return [(unit, sizes)]
-        top, at = 0.0, 0
-        for k in range(low, n - low + 1):
-            left, right = self.d.sizes(" ".join(words[:k]), arabic), self.d.sizes(" ".join(words[k:]), arabic)
-            a, b = min(left), min(right)
-            if left.index(a) != right.index(b) and best - a - b + self.FRAME > top:
-                top, at = best - a - b + self.FRAME, k
-        if top < self.split:
-            return [(unit, sizes)]
-        left, right = " ".join(words[:at]), " ".join(words[at:])
-        return self._cut(left, self.d.sizes(left, arabic), arabic, depth + 1) + self._cut(right, self.d.sizes(right, arabic), arabic, depth + 1)
+        while now:
+            probes: dict[str, list[str]] = {}
+            for u in now:
+                if min(own[u]) >= 2 * self.LEAST - self.FRAME + self.split:  # else no cut can save enough
+                    words = u.split(" ")
+                    if (n := len(words)) >= 2 * self.words:
+                        m = max(2, n // 5)
+                        probes[u] = [" ".join(words[n * k // m : n * (k + 1) // m]) for k in range(m)]
+            # a change has to show in stretches of a few words before all places are tried
+            size = self.d.sizes(p for ps in probes.values() for p in ps)
+            open_ = []
+            for u, ps in probes.items():
+                main = own[u].index(min(own[u]))
+                if any(size[p][main] - min(size[p]) >= 3 for p in ps):
+                    words = u.split(" ")
+                    open_.append((u, [(" ".join(words[:k]), " ".join(words[k:])) for k in range(low, len(words) - low + 1)]))
+            size = self.d.sizes(x for _, ways in open_ for way in ways for x in way)
+            now = []
+            for u, ways in open_:
+                best, top, at = min(own[u]), 0.0, None
+                for way in ways:
+                    left, right = size[way[0]], size[way[1]]
+                    a, b = min(left), min(right)
+                    if best - a - b + self.FRAME > top and left.index(a) != right.index(b):
+                        top, at = best - a - b + self.FRAME, way
+                if at and top >= self.split:
+                    halves[u] = at
+                    for x in at:
+                        own[x] = size[x]
+                        if x not in halves:
+                            now.append(x)
+        for u in all_units:
+            row, todo = [], [u]
+            while todo:
+                x = todo.pop()
+                if x in halves:
+                    todo += reversed(halves[x])
+                else:
+                    row.append((x, own[x]))
+            self.done[u] = row
+        return self.done
 
     def _path(self, pieces: list[tuple[str, list[int]]]) -> list[int]:
         """The cheapest row of languages, where a change costs ``switch`` bytes."""
@@ -185,41 +238,39 @@ class Detector:
         path.reverse()
         return path
 
-    #: Bytes that any encoding has besides its content.
-    FRAME = 5
-
-    def segments(self, text: str | None) -> list[tuple[str, str, float]]:
-        """(language, segment, confidence); confidence is the relative margin to the second best language. Empty for null
-        texts and for those without a sentence."""
-        if not text:
-            return []
-        pieces: list[tuple[str, list[int]]] = []
-        arabic = bool(_ARABIC.search(text))
-        for u in units(text):
-            pieces += self._cut(u, self.d.sizes(u, arabic), arabic)
-        if not pieces:
-            return []
-        path = self._path(pieces)
+    def segments(self, texts: list[str | None]) -> list[list[tuple[str, str, float]]]:
+        """For each text (language, segment, confidence); confidence is the relative margin to the second best language. Empty
+        for null texts and for those without a sentence."""
+        every = [units(t) if t else [] for t in texts]
+        cut = self.pieces(u for us in every for u in us)
+        return [self._runs([p for u in us for p in cut[u]]) if us else [] for us in every]
+
+    def _runs(self, pieces: list[tuple[str, list[int]]]) -> list[tuple[str, str, float]]:
         runs: list[list] = []
-        for (t, s), i in zip(pieces, path):
+        for (t, s), i in zip(pieces, self._path(pieces)):
             if runs and runs[-1][0] == i:
-                runs[-1][1] += " " + t
-                runs[-1][2] = [x + y for x, y in zip(runs[-1][2], s)]
+                runs[-1][1].append(t)
+                runs[-1][2].append(s)
             else:
-                runs.append([i, t, s])
+                runs.append([i, [t], [s]])
         out = []
-        for i, t, s in runs:
+        for i, ts, ss in runs:
+            s = [*map(sum, zip(*ss))]
+            t = " ".join(ts)
             second = min((x for k, x in enumerate(s) if k != i), default=s[i])
             margin = (second - s[i]) / max(1, second)
             if t.count(" ") + 1 >= self.words - 1 and margin >= self.narrow:
                 out.append((self.d.langs[i], t, round(margin, 4)))
         return out
 
-    def languages(self, text: str | None) -> list[tuple[str, float]]:
-        """Languages of a text with their confidence, the one of most words first."""
+    def languages(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
+        """For each text its languages with their confidence, the one of most words first."""
+        return [self._languages(found) for found in self.segments(texts)]
+
+    def _languages(self, found: list[tuple[str, str, float]]) -> list[tuple[str, float]]:
         size: Counter = Counter()
         sure: dict[str, float] = {}
-        for lang, t, m in self.segments(text):
+        for lang, t, m in found:
             size[lang] += t.count(" ") + 1
             sure[lang] = max(sure.get(lang, 0.0), m)
         return [(lang, sure[lang]) for lang, n in size.most_common() if n >= self.words or len(size) == 1]
@@ -314,47 +365,41 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
 
 
-def detected(df: DataFrame, raw: dict[str, bytes], key: str, text: str, segments: bool = False, **settings: float) -> DataFrame:
+def detected(df: DataFrame, raw: dict[str, bytes], key: str, text: str, segments: bool = False, label: Column | None = None, **settings: float) -> DataFrame:
     """One row for each language of a text: (``key``, lang, confidence, languages), the last being how many there are; with
     ``segments`` one for each segment: (``key``, segment_no, lang, confidence, segment), the segment in lower case with
-    links and numbers as 0. Texts that are null or hold no sentence have no row. No shuffle; the dictionaries that go
-    out are bounded."""
+    links and numbers as 0. ``label`` is a string that travels along and comes out as the last column, ``label``. Texts
+    that are null or hold no sentence have no row. No shuffle; the dictionaries that go out are bounded."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     sent = df.sparkSession.sparkContext.broadcast(raw)
-    kind, arrow = dict(df.dtypes)[key], to_arrow_type(df.schema[key].dataType)
+    kind, labelled = dict(df.dtypes)[key], label is not None
+    fields = [("segment_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("segment", pa.string())] if segments else [("lang", pa.string()), ("confidence", pa.float64()), ("languages", pa.int32())]
+    schema = pa.schema([(key, to_arrow_type(df.schema[key].dataType)), *fields, *([("label", pa.string())] if labelled else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(sent.value, **settings) if len(sent.value) > 1 else None
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if detector is None:
-                    continue
-                if segments:
-                    rows += [(k, i + 1, lang, m, s) for i, (lang, s, m) in enumerate(detector.segments(t))]
-                else:
-                    found = detector.languages(t)
-                    rows += [(k, lang, m, len(found)) for lang, m in found]
-            columns = list(zip(*rows)) if rows else [()] * (5 if segments else 4)
-            types = [arrow, pa.int32(), pa.string(), pa.float64(), pa.string()] if segments else [arrow, pa.string(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [str(i) for i in range(len(types))])
-
-    schema = f"`{key}` {kind}, segment_no int, lang string, confidence double, segment string" if segments else f"`{key}` {kind}, lang string, confidence double, languages int"
-    names = [x.strip().split(" ")[0].strip("`") for x in schema.split(",")]
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(batches):
-            yield b.rename_columns(names)
+            if detector is None:
+                continue
+            texts = b.column(1).to_pylist()
+            if segments:
+                found = [[(i + 1, lang, m, t) for i, (lang, t, m) in enumerate(one)] for one in detector.segments(texts)]
+            else:
+                found = [[(*x, len(one)) for x in one] for one in detector.languages(texts)]
+            at = pa.array([k for k, one in enumerate(found) for _ in one], pa.int64())
+            columns = list(zip(*(x for one in found for x in one))) or [()] * len(fields)
+            last = [b.column(2).take(at)] if labelled else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(c, t) for c, (_, t) in zip(columns, fields)), *last], schema=schema)
 
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(named, schema)
+    names = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+    ddl = ", ".join([f"`{key}` {kind}", *(f"{n} {names[t]}" for n, t in [*fields, *([("label", pa.string())] if label is not None else [])])])
+    return df.select(key, text, *([label.alias("label")] if label is not None else [])).where(F.col(text).isNotNull()).mapInArrow(run, ddl)
 
 
 def mislabelled(df: DataFrame, raw: dict[str, bytes], key: str, text: str, label: str) -> DataFrame:
     """(``key``, lang, confidence): the languages of those texts whose label is missing or wrong, or that mix languages. The
     label travels with the key, so nothing is joined; equal rows give one case."""
-    carried = df.select(F.struct(F.col(key).alias("k"), label_language(F.col(label)).alias("l")).alias("__k"), F.col(text).alias("__t"))
-    packed = carried.select(F.to_json("__k", {"ignoreNullFields": "false"}).alias("__j"), "__t")
-    d = detected(packed, raw, "__j", "__t").select(F.from_json("__j", f"k {dict(df.dtypes)[key]}, l string").alias("j"), "lang", "confidence", "languages")
-    case = F.col("j.l").isNull() | (F.col("j.l") != F.col("lang")) | (F.col("languages") > 1)
-    return d.where(case).select(F.col("j.k").alias(key), "lang", "confidence").groupBy(key, "lang").agg(F.max("confidence").alias("confidence"))
+    d = detected(df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")), raw, "k", "t", label=label_language(F.col("l")))
+    case = F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("languages") > 1)
+    return d.where(case).groupBy(F.col("k").alias(key), "lang").agg(F.max("confidence").alias("confidence"))
