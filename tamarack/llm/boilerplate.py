@@ -1,13 +1,15 @@
 """Lines repeated across one source's documents (problem 4).
 
-The operator keeps two tables in a folder: pages of each source, and for each source and line the pages it stands on.
-A new partition is merged as a delta; lines whose state changes with it (a share can rise or fall) are its crossings, and
-only documents that hold a crossed line are rebuilt. Counting a whole corpus is the first merge into an empty state.
+The operator keeps tables in a folder, to which every merged partition only appends: its pages as hashes of their lines, its
+pages of each source, and for each source and line its pages with it. After a merge, only the sources that the partition
+touches are looked at: their lines whose state has changed (a share can rise or fall) are its crossings, which
+bring the list of repeated lines up to date. Only documents that hold a crossed line are rebuilt, and they are found by
+their hashes. Appended parts are added up when they are read; ``compact`` makes one part of them when there are many.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ class LineLedger:
     path: folder of the tables, by default a new one in the shared folder. A line is repeated when it is on at least
     ``min_pages`` pages and on at least ``min_share`` of the source's pages. Rows whose source or text is null are no
     pages of any source; an empty text is a page without lines. Column names are parameters, so other columns of ``df``,
-    whatever they are called, play no part.
+    whatever they are called, play no part. The key may have any type, but one and the same in all partitions.
     """
 
     spark: SparkSession
@@ -37,61 +39,95 @@ class LineLedger:
     min_share: float = 0.15
     min_letters: int = 4
     version: int = 0
+    #: Folders that hold counts: those of the versions, or what they were compacted to.
+    parts: list[tuple[int, str]] = field(default_factory=list)
+    key_type: str = "long"
 
     def __post_init__(self) -> None:
         self._own = not self.path  # a state without a given folder lasts as long as the session
         self.path = self.path or new_path(self.spark, "lines")
 
-    def _table(self, name: str, version: int) -> DataFrame:
-        schema = {"pages": "src string, pages long", "lines": "src string, line long, pages long"}[name]
-        if version == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{version}/{name}")
-
-    def merge(self, df: DataFrame, source: str = "site", text: str = "text") -> "LineLedger":
-        """Add the pages of a partition that hasn't been merged before. Lines are counted once for a page by array
-        functions, so only map-side combined counts are shuffled."""
-        d = df.select(F.col(f"`{source}`").alias("src"), F.col(f"`{text}`").alias("t")).where("src is not null and t is not null")
-        pages = d.groupBy("src").agg(F.count("*").alias("pages"))
-        own = F.array_distinct(F.filter(line_keys(F.col("t"), self.min_letters), lambda x: x.isNotNull()))
-        lines = d.select("src", F.explode(own).alias("line")).groupBy("src", "line").agg(F.count("*").alias("pages"))
-        for name, delta, by in (("pages", pages, ["src"]), ("lines", lines, ["src", "line"])):
-            if self.version:
-                delta = self._table(name, self.version).unionByName(delta).groupBy(*by).agg(F.sum("pages").alias("pages"))
-            delta.write.parquet(f"{self.path}/{self.version + 1}/{name}")
-        self.version += 1
+    def _schema(self, name: str) -> str:
+        return {
+            "keys": f"key {self.key_type}, src string, keys array<long>", "pages": "src string, pages long", "lines": "src string, line long, pages long",
+            "crossed": "src string, line long, now boolean", "list": "src string, line long",
+        }[name]
+
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).parquet(*(f"{p}/{name}" for p in paths))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/{version}"
+
+    def _counts(self, name: str, version: int) -> DataFrame:
+        return self._read(name, [p for v, p in self.parts if v <= version])
+
+    def merge(self, df: DataFrame, source: str = "site", text: str = "text", key: str = "page_id") -> "LineLedger":
+        """Add the pages of a partition that hasn't been merged before. What is written follows the partition's own size. Lines
+        are counted once for a page, so only map-side combined counts are shuffled."""
+        self.key_type = dict(df.dtypes)[key]
+        then, self.version = self.version, self.version + 1
+        here = self._folder(self.version)
+        d = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("src"), F.col(f"`{text}`").alias("t")).where("src is not null and t is not null")
+        d.select("key", "src", line_keys(F.col("t"), self.min_letters).alias("keys")).write.parquet(f"{here}/keys")
+        keys = self._read("keys", [here])
+        keys.groupBy("src").agg(F.count("*").alias("pages")).write.parquet(f"{here}/pages")
+        own = F.array_distinct(F.filter("keys", lambda x: x.isNotNull()))
+        keys.select("src", F.explode(own).alias("line")).groupBy("src", "line").agg(F.count("*").alias("pages")).write.parquet(f"{here}/lines")
+        self._changes(then, here).write.parquet(f"{here}/crossed")
+        self.parts.append((self.version, here))
+        crossed = self.crossings()
+        kept = self.repeated(then).join(crossed.where("not now"), ["src", "line"], "left_anti")
+        kept.unionByName(crossed.where("now").select("src", "line")).write.parquet(f"{here}/list")
         if self._own:
             delete_at_exit(self.spark, self.path)
         return self
 
+    def _changes(self, then: int, here: str) -> DataFrame:
+        """(src, line, now) of the lines whose state the part in ``here`` changes, among those of the sources it touches."""
+        touched = self._read("pages", [here]).withColumnRenamed("pages", "new_pages")
+        before = self._counts("pages", then).join(touched.select("src"), "src", "left_semi").groupBy("src").agg(F.sum("pages").alias("old_pages"))
+        total = touched.join(before, "src", "left").select("src", F.coalesce("old_pages", F.lit(0)).alias("old_all"), (F.coalesce("old_pages", F.lit(0)) + F.col("new_pages")).alias("new_all"))
+        old = self._counts("lines", then).join(touched.select("src"), "src", "left_semi").select("src", "line", F.col("pages").alias("old"), F.lit(0).cast("long").alias("new"))
+        new = self._read("lines", [here]).select("src", "line", F.lit(0).cast("long").alias("old"), F.col("pages").alias("new"))
+        both = old.unionByName(new).groupBy("src", "line").agg(F.sum("old").alias("old"), (F.sum("old") + F.sum("new")).alias("new")).where(F.col("new") >= self.min_pages)
+        state = lambda n, every: (F.col(n) >= self.min_pages) & (F.col(n) >= self.min_share * F.col(every) - 1e-9)
+        both = both.join(total, "src").select("src", "line", state("old", "old_all").alias("was"), state("new", "new_all").alias("now"))
+        return both.where("was <> now").select("src", "line", "now")
+
+    def compact(self) -> "LineLedger":
+        """Add up the appended counts to one part. The hashes of the pages and the lists stay where they are."""
+        to = f"{self._folder(self.version)}-all"
+        self._counts("pages", self.version).groupBy("src").agg(F.sum("pages").alias("pages")).write.parquet(f"{to}/pages")
+        self._counts("lines", self.version).groupBy("src", "line").agg(F.sum("pages").alias("pages")).write.parquet(f"{to}/lines")
+        self.parts = [(self.version, to)]
+        return self
+
     def repeated(self, version: int | None = None) -> DataFrame:
         """(src, line) of the repeated lines, as of a version."""
         v = self.version if version is None else version
-        lines = self._table("lines", v).where(F.col("pages") >= self.min_pages)
-        total = self._table("pages", v).withColumnRenamed("pages", "all_pages")
-        return lines.join(total, "src").where(F.col("pages") >= self.min_share * F.col("all_pages") - 1e-9).select("src", "line")
+        return self._read("list", [self._folder(v)] if v else [])
 
-    def crossings(self) -> DataFrame:
-        """(src, line, now): lines whose state the last merge changed."""
-        now, then = self.repeated().withColumn("now", F.lit(True)), self.repeated(self.version - 1).withColumn("was", F.lit(True))
-        both = now.join(then, ["src", "line"], "full")
-        return both.where("now is null or was is null").select("src", "line", F.coalesce("now", F.lit(False)).alias("now"))
+    def crossings(self, version: int | None = None) -> DataFrame:
+        """(src, line, now): lines whose state a merge, by default the last, has changed."""
+        v = self.version if version is None else version
+        return self._read("crossed", [self._folder(v)] if v else [])
 
-    def _by_source(self, lines: DataFrame) -> DataFrame:
+    def _by_source(self, lines: DataFrame, *also: str) -> DataFrame:
         """One row for each source. The list is bounded: each line on it is on ``min_share`` of the source's pages, so there are
         at most 1 / min_share times as many as a page has on average."""
-        return lines.groupBy("src").agg(F.collect_set("line").alias("__lines"))
+        return lines.groupBy("src", *also).agg(F.collect_set("line").alias("__lines"))
 
-    def _flagged(self, df: DataFrame, lines: DataFrame, source: str, text: str, keep: list[str]) -> DataFrame:
-        d = df.where(F.col(f"`{source}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-        d = d.select(*keep, F.col(f"`{source}`").alias("__src"), line_keys(F.col(f"`{text}`"), self.min_letters).alias("__keys"))
-        return d.join(self._by_source(lines), F.col("__src") == F.col("src"), "inner")
+    def _pages(self, version: int | None = None) -> DataFrame:
+        return self._read("keys", [self._folder(v) for v in range(1, (self.version if version is None else version) + 1)])
 
-    def found(self, df: DataFrame, key: str = "page_id", source: str = "site", text: str = "text") -> DataFrame:
-        """(key, line_no): every repeated line of every page. Pages travel as hashes of their lines, not as texts."""
-        d = self._flagged(df, self.repeated(), source, text, [key])
-        d = d.select(key, F.posexplode("__keys").alias("__at", "__line"), "__lines").where("__line is not null and array_contains(__lines, __line)")
-        return d.select(key, (F.col("__at") + 1).alias("line_no"))
+    def found(self, key: str = "page_id") -> DataFrame:
+        """(key, line_no): every repeated line of every merged page, from the pages' hashes."""
+        d = self._pages().join(self._by_source(self.repeated()), "src")
+        hit = F.filter(F.transform("keys", lambda k, i: F.when(F.array_contains("__lines", k), i + 1)), lambda i: i.isNotNull())
+        return d.select(F.col("key").alias(key), F.explode(hit).alias("line_no"))
 
     def clean(self, df: DataFrame, source: str = "site", text: str = "text", into: str = "clean_text") -> DataFrame:
         """``df`` with ``into``: the text without repeated lines, the others as they were. Texts of null sources and texts
@@ -99,11 +135,22 @@ class LineLedger:
         lines = self._by_source(self.repeated()).withColumnRenamed("src", "__src")
         d = df.drop(into) if into in df.columns and into not in (source, text) else df
         d = d.join(lines, F.col(f"`{source}`") == F.col("__src"), "left")
-        keys = line_keys(F.col(f"`{text}`"), self.min_letters)
-        kept = F.filter(F.arrays_zip(F.split(F.col(f"`{text}`"), "\n", -1).alias("x"), keys.alias("k")), lambda p: p["k"].isNull() | ~F.array_contains(F.col("__lines"), p["k"]))
-        return d.withColumn(into, F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))).drop("__lines", "__src")
-
-    def rebuild(self, df: DataFrame, key: str = "page_id", source: str = "site", text: str = "text") -> DataFrame:
-        """(key, clean_text) of those documents of ``df`` that hold a line which crossed with the last merge."""
-        hit = self._flagged(df, self.crossings(), source, text, [key]).where(F.arrays_overlap("__keys", "__lines")).select(key)
-        return self.clean(df.join(hit, key, "left_semi"), source, text).select(key, "clean_text")
+        return d.withColumn(into, self._without(F.col(f"`{text}`"))).drop("__lines", "__src")
+
+    def _without(self, text: Column) -> Column:
+        zipped = F.arrays_zip(F.split(text, "\n", -1).alias("x"), line_keys(text, self.min_letters).alias("k"))
+        kept = F.filter(zipped, lambda p: p["k"].isNull() | ~F.array_contains(F.col("__lines"), p["k"]))
+        return F.when(F.col("__lines").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
+
+    def rebuilt(self, df: DataFrame, versions: list[int] | None = None, key: str = "page_id", text: str = "text") -> DataFrame:
+        """(partition_no, key, clean_text): for each of the merges (default: the last) those documents merged by then that hold a
+        line which crossed with it, cleaned as of then. ``df`` has the texts of all merged documents; only those of the documents to
+        rebuild are taken from it, in one pass for all merges."""
+        out = None
+        for v in versions or [self.version]:
+            crossed = self._by_source(self.crossings(v)).withColumnRenamed("__lines", "__crossed")
+            hit = self._pages(v).join(crossed, "src").where(F.arrays_overlap("keys", "__crossed")).select(F.lit(v).alias("partition_no"), "key", "src").distinct()
+            hit = hit.join(self._by_source(self.repeated(v)), "src", "left")
+            out = hit if out is None else out.unionByName(hit)
+        d = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).join(out, "key")
+        return d.select("partition_no", F.col("key").alias(key), self._without(F.col("t")).alias("clean_text"))

@@ -23,16 +23,19 @@ from pyspark.sql import functions as F
 # Letters of other scripts and the Latin letters they are drawn like.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Һ": "h", "а": "a", "е": "e", "ѕ": "s", "і": "i",
-    "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ԍ": "G",
-    "ӏ": "l", "ѵ": "v",
+    "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "ѕ": "s", "і": "i",
+    "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
 }
 GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j",
 }
-OTHER = {"ɡ": "g", "ⅼ": "l", "ո": "n", "օ": "o", "ս": "u", "‐": "-", "‑": "-", "…": "...", "․": ".", "‚": ",", "ʹ": "'"}
-del CYRILLIC["Һ"], CYRILLIC["ԍ"]
+CHEROKEE = {
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+}
+ARMENIAN = {"ո": "n", "օ": "o", "ս": "u", "հ": "h", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L"}
+OTHER = {"ɡ": "g", "ⅼ": "l", "‐": "-", "‑": "-", "…": "...", "․": ".", "‚": ",", "ʹ": "'"}
 #: Compatibility tags of the Unicode tables under which both sides are drawn alike.
 TAGS = ("<wide>", "<narrow>", "<noBreak>")
 #: Ligatures of the block U+FB00 to U+FB06 look like the letters they join.
@@ -41,6 +44,10 @@ LIGATURES = range(0xFB00, 0xFB07)
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0xFE00, 0xFE10)}
 
 
+#: Parts into which the rows of one text are spread when pairs of rows are made.
+SALTS = 16
+
+
 class Classes:
     """Union-find over strings; the root of a class is arbitrary, members are kept."""
 
@@ -68,7 +75,7 @@ class Classes:
 
 def edges() -> Iterator[tuple[str, str]]:
     """Pairs of strings that look the same. The empty string stands for what can't be seen."""
-    for table in (CYRILLIC, GREEK, OTHER):
+    for table in (CYRILLIC, GREEK, CHEROKEE, ARMENIAN, OTHER):
         yield from table.items()
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000:
@@ -95,7 +102,7 @@ def classes() -> dict[str, tuple[str, ...]]:
     for a, b in edges():
         uf.union(a, b)
     # an accented letter of another script looks like the Latin letter with that accent
-    bases = CYRILLIC | GREEK
+    bases = CYRILLIC | GREEK | CHEROKEE | ARMENIAN
     for x in list(uf.up):
         form = unicodedata.normalize("NFD", x)
         if len(form) > 1 and form[0] in bases:
@@ -140,11 +147,12 @@ class Rewriter:
             return text
         if self.plain and (text.isascii() or self.needs.isdisjoint(text) and unicodedata.is_normalized("NFC", text)):
             return text
-        for _ in range(4):  # composing may make a new member, such as a look-alike letter that took an accent
+        # Composing may make a new member, such as a look-alike letter that took an accent; each further round needs one.
+        for _ in range(len(text) + 2):
             if (done := self._once(text)) == text:
-                break
+                return text
             text = done
-        return text
+        raise RuntimeError("a text didn't settle")
 
     def _once(self, text: str) -> str:
         out, at = [], 0
@@ -209,16 +217,24 @@ def _digest(c: Column) -> Column:
 def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``_a, ``key``_b), a < b: rows whose texts differ in their characters but have one canonical form.
 
-    Rows with null or blank text are in no pair. Only digests are shuffled; groups in which all texts are equal character by
-    character are dropped before pairs are made, so exact copies never meet each other. The two digests of a group's
-    rows are joined on the canonical digest, and a hot group is split by the engine's skew handling.
+    Rows with null or blank text or a null key are in no pair; rows that are repeated with their key count once. Only digests
+    are shuffled. Pairs are made of the distinct texts of a form, and rows come in afterwards, so exact copies never meet
+    each other; the rows of each text are salted into ``SALTS`` parts, as one text may hold most rows.
     """
     d = canonicalise(df.select(key, text).where(F.length(F.trim(F.col(text))) > 0), text, "canonical")
-    d = d.select(F.col(key).alias("k"), _digest(F.col(text)).alias("raw"), _digest(F.col("canonical")).alias("form"))
+    d = d.select(F.col(key).alias("k"), _digest(F.col(text)).alias("raw"), _digest(F.col("canonical")).alias("form")).where("k is not null")
     from tamarack.runtime import cut
 
     d = cut(d, "lookalike")
-    several = d.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("form")
-    d = d.join(several, "form", "left_semi")
-    a, b = d.alias("a"), d.alias("b")
-    return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b"))
+    texts = d.select("form", "raw").distinct()
+    several = texts.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("form")
+    texts = texts.join(several, "form", "left_semi")
+    a, b = texts.alias("a"), texts.alias("b")
+    pairs = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") < F.col("b.raw"))).select(F.col("a.raw").alias("raw_a"), F.col("b.raw").alias("raw_b"))
+    salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")
+    rows = d.join(texts.select("raw"), "raw", "left_semi").select("raw", "k", salt.alias("salt")).distinct()
+    pairs = pairs.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    half = pairs.join(rows.select(F.col("raw").alias("raw_a"), F.col("k").alias("ka"), "salt"), ["raw_a", "salt"]).drop("salt")
+    half = half.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    both = half.join(rows.select(F.col("raw").alias("raw_b"), F.col("k").alias("kb"), "salt"), ["raw_b", "salt"])
+    return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b"))

@@ -1,10 +1,11 @@
 """Mixing sources to target shares of all tokens (problem 7).
 
-Each source's documents are shuffled by a hash and cut into blocks of equal tokens. The mixture is a row of slots, each of
-one block: slot i takes the i-th golden-ratio point, which falls into a source's part of the cumulated shares. Such points
-are spread so evenly that any stretch of the mixture has nearly the target shares. The r-th slot of a source takes
-its block r mod (number of blocks), in repetition r div (number of blocks); slots beyond the allowed repetitions stay empty
-and the shortfall is reported, not made up by other sources.
+The mixture is a row of slots: slot i takes the i-th golden-ratio point, which falls into a source's part of the cumulated
+shares. Such points are spread so evenly that any stretch of the mixture has nearly the target shares. The tokens that a
+source is to give are cut into as many equal blocks as it has slots, so what it gives doesn't hang on how many slots it
+happened to get. Its documents are shuffled by a hash and laid end to end, repeated as often as needed and allowed, and each use
+of a document goes to the block in which it begins. Blocks beyond the allowed repetitions stay empty; the
+shortfall is reported, not made up by other sources.
 """
 
 from __future__ import annotations
@@ -71,43 +72,72 @@ def _running(df: DataFrame, group: list[str], part: Column, order: list[str], va
     return d.join(offsets, [*group, "__part"]).withColumn("before", F.col("__off") + F.col("__in")).drop("__off", "__in", "__v", "__part")
 
 
-def blocks(tokens: DataFrame, block_tokens: int, seed: int = 7, parts: int = 256) -> DataFrame:
-    """(doc, source, tokens, block): each source shuffled by hash and cut where its running tokens pass a multiple of
-    ``block_tokens``. A document belongs to the block in which it begins, so none is cut or lost."""
+def laid(tokens: DataFrame, seed: int = 7, rows_a_part: int = 20_000) -> DataFrame:
+    """(doc, source, tokens, before): each source shuffled by hash, with the tokens that come before a document. The number
+    of parts follows the number of rows, so that a window stays small whatever the corpus and its largest source."""
     d = tokens.where("source is not null and tokens > 0").withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc")))
-    d = _running(d, ["source"], F.pmod("__h", F.lit(parts)), ["__h", "doc"], F.col("tokens"))
-    return d.withColumn("block", F.floor(F.col("before") / block_tokens)).drop("before", "__h")
+    parts = max(1, -(-d.count() // rows_a_part))
+    return _running(d, ["source"], F.pmod("__h", F.lit(parts)), ["__h", "doc"], F.col("tokens")).drop("__h")
 
 
 def slots(spark, report: DataFrame, count: int, chunk: int = 4096) -> DataFrame:
     """(slot, source, turn): golden-ratio points mapped through the cumulated target shares; ``turn`` numbers a source's
-    slots from 0. ``report`` has a row for each source of the mixture; it is collected, as it is a configuration."""
-    names = [(r["source"], r["target_share"]) for r in report.orderBy("source").collect()]
+    slots from 0. ``report`` has a row for each source of the mixture; it is collected, as it is a configuration. A
+    source whose share is so small that no point falls into it shares slot 0."""
+    names = [(r["source"], r["target_share"]) for r in report.where("source is not null").orderBy("source").collect()]
     edges = [round(sum(x for _, x in names[: k + 1]), 12) for k in range(len(names))]
     point = F.expr(f"(id + 0.5D) * {GOLDEN}D - floor((id + 0.5D) * {GOLDEN}D)")
     passed = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col("x")))
     d = spark.range(count).select(F.col("id").alias("slot"), point.alias("x")).withColumn("__k", passed).where(F.col("__k") < len(names))
     d = d.select("slot", F.try_element_at(F.array(*(F.lit(n) for n, _ in names)).cast("array<string>"), F.col("__k") + 1).alias("source"))
-    return _running(d, ["source"], F.floor(F.col("slot") / chunk), ["slot"], F.lit(1)).withColumnRenamed("before", "turn")
+    turns = _running(d, ["source"], F.floor(F.col("slot") / chunk), ["slot"], F.lit(1)).withColumnRenamed("before", "turn")
+    missed = report.where("source is not null and target_share > 0").select("source").join(turns.select("source").distinct(), "source", "left_anti")
+    return turns.select("slot", "source", "turn").union(missed.select(F.lit(0).cast("long"), "source", F.lit(0).cast("long")).where(F.lit(count) > 0))
+
+
+def schedule(tokens: DataFrame, targets: DataFrame, block_tokens: int = 2048) -> DataFrame:
+    """(slot, source, turn, slots, wanted_tokens, own_tokens, max_repeats, filled): the row of slots, about one for each
+    ``block_tokens`` of all tokens. ``slots`` is how many the source has; each is to hold wanted_tokens / slots. ``filled`` says
+    whether the source's documents reach to the end of the slot's block within the allowed repetitions."""
+    from tamarack.runtime import cut
+
+    report = cut(source_report(tokens, targets), "report")
+    total = report.agg(F.max("total_tokens")).first()[0] or 0
+    s = cut(slots(tokens.sparkSession, report, -(-total // block_tokens)), "slots")
+    d = s.join(s.groupBy("source").agg(F.count("*").alias("slots")), "source").join(report, "source")
+    upto = (F.col("turn") + 1) * F.col("wanted_tokens") / F.col("slots")
+    return d.select("slot", "source", "turn", "slots", "wanted_tokens", "own_tokens", "max_repeats", (F.col("own_tokens") * F.col("max_repeats") >= upto - 1e-6).alias("filled"))
+
+
+def unreachable(tokens: DataFrame, targets: DataFrame, block_tokens: int = 2048) -> DataFrame:
+    """(source): the sources for which the schedule has a slot that stays unfilled."""
+    return schedule(tokens, targets, block_tokens).where("not filled").select("source").distinct()
 
 
 def mix(tokens: DataFrame, targets: DataFrame, block_tokens: int = 2048, seed: int = 7) -> DataFrame:
     """The mixture: (slot, source, doc, repetition, tokens), a row for each use of a document.
 
-    The mixture is as long as all of ``tokens``; a source is repeated at most ``max_repeats`` times. Empty tables give an
-    empty mixture; sources of the targets without documents have no rows; documents of null or unlisted sources aren't
-    used. The number of targets is taken as bounded (it is a configuration), which is why they are broadcast.
+    The mixture is as long as all of ``tokens``. Every source gives its share of that to within half its smallest unused document, or all
+    that ``max_repeats`` uses of its documents hold. Empty tables give an empty mixture; sources of the targets without
+    documents have no rows; documents of null or unlisted sources aren't used. A document of no tokens isn't used.
     """
-    spark = tokens.sparkSession
-    total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    report = source_report(tokens, targets)
-    cut_up = blocks(tokens, block_tokens, seed)
-    sizes = cut_up.groupBy("source").agg((F.max("block") + 1).alias("n_blocks"))
-    s = slots(spark, report, -(-total // block_tokens))
-    limits = report.select("source", "max_repeats").join(sizes, "source")
-    s = s.join(F.broadcast(limits), "source").select("slot", "source", F.pmod("turn", F.col("n_blocks")).alias("block"), F.floor(F.col("turn") / F.col("n_blocks")).alias("repetition"), "max_repeats")
-    s = s.where("repetition < max_repeats").drop("max_repeats")
-    return s.join(cut_up, ["source", "block"]).select("slot", "source", "doc", "repetition", "tokens")
+    from tamarack.runtime import cut
+
+    s = cut(schedule(tokens, targets, block_tokens), "schedule")
+    per = s.groupBy("source").agg(*(F.max(c).alias(c) for c in ("slots", "wanted_tokens", "own_tokens", "max_repeats")))
+    d = laid(tokens, seed).join(per, "source").where("wanted_tokens > 0")
+    times = F.least(F.col("max_repeats"), F.ceil(F.col("wanted_tokens") / F.col("own_tokens")).cast("int"))
+    d = d.withColumn("repetition", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
+    d = cut(d.withColumn("start", F.col("repetition") * F.col("own_tokens") + F.col("before")), "uses")
+    whole = d.where("start + tokens <= wanted_tokens")
+    # what is left is filled by the unused document of the last repetition that fits it best, if that is better than none
+    left = per.join(whole.groupBy("source").agg(F.max(F.col("start") + F.col("tokens")).alias("placed")), "source", "left").select("source", F.coalesce("placed", F.lit(0)).alias("placed"))
+    over = d.where("start + tokens > wanted_tokens").join(left, "source").withColumn("miss", F.abs(F.col("wanted_tokens") - F.col("placed") - F.col("tokens")))
+    over = over.where("miss < wanted_tokens - placed").withColumn("start", F.col("placed"))
+    names = whole.columns
+    last = over.groupBy("source").agg(F.min_by(F.struct(*names), F.struct("miss", F.xxhash64(F.lit(seed), "doc"), "doc")).alias("u")).select("u.*")
+    d = whole.unionByName(last).withColumn("turn", F.floor(F.col("start") * F.col("slots") / F.col("wanted_tokens")))
+    return d.join(s.select("slot", "source", "turn"), ["source", "turn"]).select("slot", "source", "doc", F.col("repetition").cast("long").alias("repetition"), "tokens")
 
 
 def reached(mixture: DataFrame, report: DataFrame) -> DataFrame:

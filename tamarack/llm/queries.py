@@ -25,6 +25,17 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(pages, "text", 2000, 200)
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """For each page that comes out: whether all pieces are within the limit and the overlap, and a digest of the characters of its
+    pieces, without overlaps and blanks, in order. The text's own digest must be the same."""
+    own = F.regexp_replace(F.expr("substring(piece, overlap_chars + 1)"), r"(?U)\s+", "")
+    d1 = p1_pieces(spark, d).groupBy("page_id", "page_number").agg(
+        F.bool_and((F.length("piece") <= 2000) & (F.col("overlap_chars") <= 200)).alias("within"),
+        F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"),
+    )
+    return d1.select("page_id", "page_number", "within", F.md5(F.array_join(F.transform("parts", lambda p: p["own"]), "")).alias("digest"))
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     pages = _read(spark, d, "logement_en_categorized", "page_id", "text", "category_id", "category_name", "subcategory")
     return subjects.subjects_of(pages, subjects.fit(pages, _read(spark, d, "categories")))
@@ -50,35 +61,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return partenum.pairs_within_groups(p3_groups(spark, d))
 
 
-def _ledger(spark: SparkSession, *parts: DataFrame) -> boilerplate.LineLedger:
-    ledger = boilerplate.LineLedger(spark)
-    for p in parts:
-        ledger.merge(p, "site", "text")
-    return ledger
+def _ledger(spark: SparkSession, pages: DataFrame) -> boilerplate.LineLedger:
+    """Two merges: the pages that were there before the latest month of ingestion, then those that arrived in it."""
+    last = pages.agg(F.date_trunc("month", F.max("ingested_at"))).first()[0]
+    new = F.coalesce(F.col("ingested_at") >= F.lit(last), F.lit(False))
+    return boilerplate.LineLedger(spark).merge(pages.where(~new)).merge(pages.where(new))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = _read(spark, d, "logement_en", "page_id", "site", "text")
-    return _ledger(spark, pages).found(pages)
+    return _ledger(spark, _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")).found()
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    pages = _read(spark, d, "logement_en", "page_id", "site", "text")
-    return _ledger(spark, pages).clean(pages).select("page_id", "clean_text")
+    pages = _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")
+    return _ledger(spark, pages).clean(pages.drop("ingested_at")).select("page_id", "clean_text")
 
 
 def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     """Every month's pages merged as a partition of their own, in order: the pages there are by then that had to be written anew
     because one of their lines crossed. Rows without a time come with the first month. The months are a short list."""
     pages = _read(spark, d, "logement_en", "page_id", "site", "text", "ingested_at")
-    months = [r[0] for r in pages.select(F.date_trunc("month", "ingested_at").alias("m")).where("m is not null").distinct().orderBy("m").collect()]
-    pages = pages.withColumn("m", F.coalesce(F.date_trunc("month", "ingested_at"), F.lit(months[0] if months else None).cast("timestamp_ntz").cast("timestamp")))
-    ledger, done = boilerplate.LineLedger(spark), None
+    month = F.date_trunc("month", "ingested_at")
+    months = [r[0] for r in pages.select(month.alias("m")).where("m is not null").distinct().orderBy("m").collect()] or [None]
+    ledger = boilerplate.LineLedger(spark)
     for k, m in enumerate(months):
-        ledger.merge(pages.where(F.col("m") == F.lit(m)), "site", "text")
-        again = ledger.rebuild(pages.where(F.col("m") <= F.lit(m))).select(F.lit(k + 1).alias("partition_no"), "page_id", "clean_text")
-        done = again if done is None else done.unionByName(again)
-    return spark.createDataFrame([], "partition_no int, page_id long, clean_text string") if done is None else done
+        ledger.merge(pages.where((month == F.lit(m)) | F.col("ingested_at").isNull() if k == 0 else month == F.lit(m)))
+    return ledger.rebuilt(pages, [*range(1, ledger.version + 1)])
 
 
 def _texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
@@ -120,7 +128,7 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.source_report(*_mixture(spark, d)).where("not reachable").select("source")
+    return mixing.unreachable(*_mixture(spark, d))
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -23,3 +23,10 @@ def test_pairs(spark):
     assert got == {(1, 2), (2, 3), (1, 7), (2, 7), (3, 7)}
     assert L.same_looking_pairs(df.limit(0)).count() == 0
     assert L.canonicalise(df.withColumn("canonical", df.doc_id)).count() == 9
+
+
+def test_a_hot_text_with_one_variant_is_linear_and_repeated_rows_count_once(spark):
+    df = spark.range(100_000).selectExpr("id as doc_id", "if(id = 77777, 'сopy of it', 'copy of it') as text", "id as k", "'x' as raw")
+    got = L.same_looking_pairs(df.unionByName(df.where("doc_id = 77777")))
+    assert got.count() == 99_999 and got.where("doc_id_a = 77777 or doc_id_b = 77777").count() == 99_999
+    assert got.where("doc_id_a >= doc_id_b").count() == 0

@@ -28,14 +28,49 @@ def test_report_and_mixture(spark):
     assert done["c"].reached_tokens == own["c"] and done["none"].reached_tokens == 0
 
 
-def test_blocks_hold_every_document_once(spark):
-    _, tokens, _ = data(spark)
-    b = M.blocks(tokens, 64, parts=4).collect()
-    assert len({(r.doc) for r in b}) == len(b) == tokens.where("source is not null").count()
-    sums = {}
-    for r in b:
-        sums[r.source, r.block] = sums.get((r.source, r.block), 0) + r.tokens
-    assert all(abs(v - 64) <= 17 for (s, k), v in sums.items() if (s, k + 1) in sums)
+def test_every_use_of_a_document_once_and_blocks_of_equal_tokens(spark):
+    _, tokens, targets = data(spark)
+    laid = M.laid(tokens, rows_a_part=50).collect()
+    assert len({r.doc for r in laid}) == len(laid) == tokens.where("source is not null").count()
+    at = {}
+    for r in sorted(laid, key=lambda r: (r.source, r.before)):
+        assert r.before == at.get(r.source, 0)
+        at[r.source] = r.before + r.tokens
+    sums, used = {}, M.mix(tokens, targets, 64).collect()
+    assert len({(r.doc, r.repetition) for r in used}) == len(used)
+    for r in used:
+        if r.source == "b":
+            sums[r.slot] = sums.get(r.slot, 0) + r.tokens
+    assert max(sums.values()) - min(sums.values()) <= 34
+
+
+def test_a_source_of_few_tokens_gets_its_share_by_repetition(spark):
+    rows = [(k, "big", 100) for k in range(200)] + [(1000 + k, "small", 70) for k in range(10)] + [(2000, "tiny", 7)]
+    tokens = spark.createDataFrame(rows, "doc long, source string, tokens long")
+    total = sum(r[2] for r in rows)
+    targets = spark.createDataFrame([("big", 0.8985, 1), ("small", 0.1, 4), ("tiny", 0.0015, 9)], "source string, target_share double, max_repeats int")
+    done = {r.source: r for r in M.reached(M.mix(tokens, targets), M.source_report(tokens, targets)).collect()}
+    assert abs(done["small"].reached_tokens - 0.1 * total) <= 35 and done["small"].repeats == 3
+    assert abs(done["big"].reached_tokens - 0.8985 * total) <= 50 and abs(done["tiny"].reached_tokens - 0.0015 * total) <= 7
+
+
+def test_unreachable_by_the_schedule_is_unreachable_by_the_numbers(spark):
+    _, tokens, targets = data(spark)
+    want = {r.source for r in M.source_report(tokens, targets).where("not reachable").collect()}
+    for block in (16, 64, 2048):
+        assert {r.source for r in M.unreachable(tokens, targets, block).collect()} == want
+
+
+@pytest.mark.parametrize("sf,within", [("sf0.01", 0.05), ("sf0.1", 0.01)])
+def test_reachable_sources_get_their_share(spark, sf, within):
+    if not os.path.isdir(f"/root/testdata/{sf}") or not os.path.exists(M.TOKENIZER):
+        pytest.skip("needs the test tables and the vocabulary file")
+    from tamarack.llm import queries
+
+    for r in queries.p7_report(spark, f"/root/testdata/{sf}").collect():
+        if r.reachable:
+            assert abs(r.reached_share / r.target_share - 1) <= within, r
+        assert r.repeats <= r.max_repeats
 
 
 def test_slots_have_low_discrepancy(spark):

@@ -55,7 +55,36 @@ def test_extra_columns_and_empty(spark):
 
 
 def test_overlap_repeats_the_end_of_the_piece_before(spark):
-    t = " ".join(f"w{k:02}" for k in range(40))
-    rows = S.split_oversized(spark.createDataFrame([(1, t)], "page_id long, text string"), "text", 30, 10).orderBy("piece_no").collect()
-    for a, b in zip(rows, rows[1:]):
-        assert b.overlap_chars == 0 or a.piece.endswith(b.piece[: b.overlap_chars])
+    """Exceptions: a unit that fits but leaves no room stays whole, and a short piece before is repeated whole."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 11)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    data = [
+        " ".join(word() for _ in range(3000)),  # words only
+        " ".join(sentence(r.randint(3, 25)) for _ in range(200)),
+        "\n".join(sentence(r.randint(3, 25)) for _ in range(200)),
+        "\n\n".join(" ".join(sentence(9) for _ in range(r.randint(1, 12))) for _ in range(60)),
+        "x" * 9000,
+        "\n\n".join("y" * 1900 for _ in range(4)),
+    ]
+    df = spark.createDataFrame(list(enumerate(data)), "page_id long, text string")
+    pieces, exceptions = {}, {k: 0 for k in range(len(data))}
+    for p in S.split_oversized(df).orderBy("page_id", "piece_no").collect():
+        pieces.setdefault(p.page_id, []).append(p)
+    for k, rows in pieces.items():
+        own = [p.piece[p.overlap_chars :].strip() for p in rows]
+        for n in range(1, len(rows)):
+            assert len(rows[n].piece) <= 2000 and rows[n].overlap_chars <= 200
+            assert rows[n - 1].piece.endswith(rows[n].piece[: rows[n].overlap_chars])
+            if len(own[n]) > 1800 or len(own[n - 1]) < 200:
+                exceptions[k] += 1
+            else:
+                assert rows[n].overlap_chars >= 185, (k, n)
+    assert max(exceptions[k] for k in range(5)) <= 2, exceptions
+    assert exceptions[5] == 3 and all(p.piece[p.overlap_chars :].strip() == "y" * 1900 for p in pieces[5])
+
+
+def test_a_unit_that_fits_stays_whole(spark):
+    t = "\n\n".join(["a" * 50 + " b" * 400, "c " * 960 + "d", "e f."])
+    rows = S.split_oversized(spark.createDataFrame([(1, t)], "page_id long, text string")).orderBy("piece_no").collect()
+    assert [r.boundary for r in rows] == ["paragraph"] * 3 and rows[1].piece.endswith("c " * 960 + "d")
