@@ -7,9 +7,10 @@ after which a set of an allowed size could still be similar (about half of the r
 largest size a partner may have there; within a run, every two sets whose sizes allow each other are compared. No similar pair is
 left out at any size or frequency; the only loss is at the sketches, which are set ``sigmas`` below the wanted similarity.
 
-Equal sets are one node. Entries travel grouped by a prefix of their run, 8 bytes each and a head for each set. Pairs are pruned by
-size, place and sketches, then confirmed by exact similarity, and closed to groups. The number of pairs looked at grows with
-the square of a run's frequency.
+Equal sets are one class, told apart by 128 bits. Entries travel grouped by a prefix of their run, 8 bytes each and a head for each
+set. A run that is on very many texts (by the sample) is split: its sets fall into blocks, and each two blocks are compared
+in a group of their own, so no task holds them all. Pairs are pruned by size, place and sketches, then confirmed by exact
+similarity, and closed to groups. The number of pairs looked at grows with the square of a run's frequency.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from tamarack.operators.components import connected_components
 from tamarack.runtime import cut
 
 _WORD = re.compile(r"\w+")
-#: Words of 64 sketch bits for each set; of the first, 40 bits are kept in the node.
+#: Words of 64 sketch bits for each set.
 WORDS = 5
-BITS = 40 + 64 * (WORDS - 1)
+BITS = 64 * WORDS
+#: Members of one of two blocks of a hot run, and the bits of a limit that say on which side of such a pair an entry is.
+BLOCK, SIDE, LIMIT = 50_000, 30, (1 << 30) - 1
 #: Odd constants that mix 64-bit hashes.
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _S = np.uint64(32)
@@ -97,26 +100,37 @@ def sketches(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def chain(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) within equal signatures: each member to the one and the two before it, and to the first."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    same = np.concatenate(([False], sig[1:] == sig[:-1])) if len(sig) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(sig)))) if len(sig) else np.zeros(0, np.int64)
-    at = np.nonzero(same)[0]
-    two = at[at - first[at] >= 2]
-    a, b = np.concatenate((node[at - 1], node[first[at]], node[two - 2])), np.concatenate((node[at], node[at], node[two]))
-    differ = a != b
-    a, b = a[differ], b[differ]
-    both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0) if len(a) else np.zeros((0, 2), node.dtype)
-    return both[:, 0], both[:, 1]
+def digests(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Two independent 64-bit sums over the hashes of each of n sets, as (2, n): equal sets have equal ones."""
+    out = np.zeros((2, n), np.uint64)
+    for k, salt in enumerate((_C, _A)):
+        np.add.at(out[k], row, mixed(h + salt))
+    return mixed(out)
+
+
+def split_hot(run: np.ndarray, row: np.ndarray, limit: np.ndarray, node: np.ndarray, common: np.ndarray, often: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of runs expected on more than ``block`` sets, once for each pair of blocks that theirs is in, as runs of their own;
+    the others as they are. How often a run is expected only decides how much is split, not what is compared."""
+    if not len(common) or often.max() <= block:
+        return run, row, limit
+    at = np.minimum(np.searchsorted(common, run), len(common) - 1)
+    m = np.where(common[at] == run, -(-often[at] // block), 1).astype(np.int64)
+    out = [(run[m == 1], row[m == 1], limit[m == 1])]
+    hr, hw, hl, hm = run[m > 1], row[m > 1], limit[m > 1], m[m > 1]
+    own = (mixed(node[hw] + _A) % hm.astype(np.uint64)).astype(np.int64)
+    for other in range(int(hm.max(initial=0))):
+        k = other < hm
+        lo, hi = np.minimum(own[k], other), np.maximum(own[k], other)
+        side = np.where(lo == hi, 0, np.where(own[k] == lo, 1, 2))
+        out.append((mixed(hr[k] ^ mixed((lo * 1_000_003 + hi + 1).astype(np.uint64) * _B)), hw[k], hl[k] | side << SIDE))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _pack(run: np.ndarray, row: np.ndarray, limit: np.ndarray, heads: np.ndarray, prefixes: int) -> tuple[list[int], list[bytes]]:
     """Blobs by prefix: the number of sets, their heads (node, size, sketches), their numbers of runs, the upper 32 bits of the
-    runs, the limits."""
+    runs, the limits with their sides."""
     p = (run % np.uint64(prefixes)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
+    order = np.lexsort((row, p))
     p, row, top, limit = p[order], row[order], (run[order] >> _S).astype(np.uint32), limit[order].astype(np.uint32)
     starts = np.concatenate((np.nonzero(np.concatenate(([True], p[1:] != p[:-1])))[0], [len(p)])) if len(p) else np.zeros(0, np.int64)
     keys, blobs = [], []
@@ -132,7 +146,7 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     heads, counts, top, limit = [], [], [], []
     for x in blobs:
         n = int(np.frombuffer(x, np.uint32, 1)[0])
-        size = 8 * (WORDS + 1) * n
+        size = 8 * (WORDS + 2) * n
         heads.append(np.frombuffer(x, np.uint64, size // 8, 4).reshape(-1, n))
         counts.append(np.frombuffer(x, np.uint32, n, 4 + size))
         rest = np.frombuffer(x, np.uint32, -1, 4 + size + 4 * n).reshape(2, -1)
@@ -149,12 +163,12 @@ def similar_pairs(heads: np.ndarray, row: np.ndarray, top: np.ndarray, limit: np
     """Pairs of nodes (a, b) that share a run, allow each other's sizes there and agree in ``least_bits`` of ``BITS`` sketch bits."""
     z = heads[1][row]
     order = np.lexsort((z, top))
-    row, z, limit, top = row[order], z[order], limit[order].astype(np.uint64), top[order].astype(np.uint64) << _S
+    row, z, side, limit, top = row[order], z[order], limit[order] >> SIDE, (limit[order] & LIMIT).astype(np.uint64), top[order].astype(np.uint64) << _S
     upto = np.searchsorted(top | z, top | limit, side="right")
     many = np.maximum(0, upto - np.arange(len(row)) - 1)
     ends = np.cumsum(many)
     node, n, begin = heads[0], np.int64(heads.shape[1]), 0
-    words = [node >> np.uint64(24), *heads[2:]]
+    words = heads[2:][::-1]
     found = [np.zeros(0, np.int64)]
     while begin < len(row):
         done = ends[begin - 1] if begin else 0
@@ -162,10 +176,10 @@ def similar_pairs(heads: np.ndarray, row: np.ndarray, top: np.ndarray, limit: np
         m = many[begin:end]
         i = np.repeat(np.arange(begin, end), m)
         j = np.arange(len(i)) - np.repeat(ends[begin:end] - m - done, m) + i + 1
-        ok = limit[j] >= z[i]
+        ok = (limit[j] >= z[i]) & (row[i] != row[j]) & ((side[i] == 0) | (side[i] != side[j]))
         a, b = row[i[ok]], row[j[ok]]
         differ = np.zeros(len(a), np.int64)
-        for w in reversed(words):
+        for w in words:
             differ += np.bitwise_count(w[a] ^ w[b])
             near = differ <= BITS - least_bits
             a, b, differ = a[near], b[near], differ[near]
@@ -176,23 +190,6 @@ def similar_pairs(heads: np.ndarray, row: np.ndarray, top: np.ndarray, limit: np
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _hot(sig: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Link signatures with more than ``most`` members within this batch here: each link goes on as a signature of its own
-    that has two members, and the signature itself keeps ``most`` members, evenly spread over the sketch order."""
-    values, back, n = np.unique(sig, return_inverse=True, return_counts=True)
-    if not len(n) or n.max() <= most:
-        return sig, node
-    hot = n[back] > most
-    a, b = chain(sig[hot], node[hot])
-    own = mixed(a ^ mixed(b + _B))
-    order = np.lexsort((node[hot], back[hot]))
-    hs, hn, hb = sig[hot][order], node[hot][order], back[hot][order]
-    start = np.concatenate(([0], np.nonzero(hb[1:] != hb[:-1])[0] + 1))
-    rank = np.arange(len(hb)) - np.repeat(start, np.diff(np.concatenate((start, [len(hb)]))))
-    kept = rank % -(-n[hb] // most) == 0
-    return np.concatenate((sig[~hot], hs[kept], own, own)), np.concatenate((node[~hot], hn[kept], a, b))
-
-
 def common_runs(d: DataFrame, part: float, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the runs that are on more than one text of a sample, and on how many. It only serves the order of runs."""
 
@@ -208,38 +205,43 @@ def common_runs(d: DataFrame, part: float, width: int, least_words: int) -> tupl
     return values[n > 1], n[n > 1]
 
 
-def candidate_links(df: DataFrame, key: str, text: str, threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0, prefixes: int | None = None, sample: int = 8_000) -> DataFrame:
-    """A written table (kind, a, b): kind 1 has a row for each text, a its key, b its node (equal sets have one); kind 0 has the links
-    between nodes. ``prefixes`` follows the number of rows, so that the entries of one prefix are about a million
+def candidate_links(
+    df: DataFrame, key: str, text: str, threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0, prefixes: int | None = None, sample: int = 8_000, block: int = BLOCK
+) -> DataFrame:
+    """A written table (kind, a, b, c): kind 1 has a row for each text, a its key, b and c the digests of its set; kind 0 has the links
+    between first digests. ``prefixes`` follows the number of rows, so that the entries of one prefix are about a million
     whatever the corpus; the order of runs comes from about ``sample`` texts."""
     d = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
     rows = d.count()
     if prefixes is None:
         prefixes = max(16, rows // 10_000)
-    order = d.sparkSession.sparkContext.broadcast(common_runs(d, min(1.0, sample / max(1, rows)), width, least_words))
+    part = min(1.0, sample / max(1, rows))
+    order = d.sparkSession.sparkContext.broadcast(common_runs(d, part, width, least_words))
     least_bits = bits_needed(threshold, BITS, sigmas)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = _Hash(), set()
+        common, often = order.value
+        expected = np.ceil(often / part).astype(np.int64)
 
         def packed_up(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            sk = sketches(h, row, len(sets))
-            total = np.zeros(len(sets), np.uint64)
-            np.add.at(total, row, mixed(h + _C))
-            # 40 bits of sketch, the other 24 tell sets apart
-            node = (sk[:, 0] & ~np.uint64(0xFFFFFF)) | (mixed(total) >> np.uint64(40))
+            both = digests(h, row, len(sets))
             new = np.zeros(len(sets), bool)
-            for i, x in enumerate(node.tolist()):
+            if len(seen) > 500_000:  # what is forgotten comes twice to its group and is dropped there
+                seen.clear()
+            for i, x in enumerate(both[0].tolist()):
                 if x not in seen:
                     seen.add(x)
                     new[i] = True
             place, keep = np.cumsum(new) - 1, new[row]
-            heads = np.stack((node[new], sizes[new].astype(np.uint64), *sk[new, 1:].T))
-            ps, blobs = _pack(*rare_first(h[keep], place[row[keep]], sizes[new], *order.value, threshold), heads, prefixes)
-            ps.append(-1 - int(mixed(node[:1])[0] % np.uint64(prefixes)))
-            blobs.append(np.array(keys, np.int64).tobytes() + node.tobytes())
+            h, row = h[keep], place[row[keep]]
+            heads = np.stack((both[0][new], sizes[new].astype(np.uint64), *sketches(h, row, int(new.sum())).T))
+            entries = split_hot(*rare_first(h, row, sizes[new], common, often, threshold), heads[0], common, expected, block)
+            ps, blobs = _pack(*entries, heads, prefixes)
+            ps.append(-1 - int(both[0][0] % np.uint64(prefixes)))
+            blobs.append(np.array(keys, np.int64).tobytes() + both.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
 
         for b in batches:
@@ -258,15 +260,15 @@ def candidate_links(df: DataFrame, key: str, text: str, threshold: float = 0.5,
     def link(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group.column("blob")]
         if group.column("p")[0].as_py() < 0:
-            a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs], 1)
+            a, b, c = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs], 1)
             kind = np.ones(len(a), np.int32)
         else:
             a, b = (x.view(np.int64) for x in similar_pairs(*_unpack(blobs), least_bits))
-            kind = np.zeros(len(a), np.int32)
-        return pa.table({"kind": kind, "a": a, "b": b})
+            kind, c = np.zeros(len(a), np.int32), np.zeros(len(a), np.int64)
+        return pa.table({"kind": kind, "a": a, "b": b, "c": c})
 
     packed = d.mapInArrow(emit, "p int, blob binary")
-    return cut(packed.groupBy("p").applyInArrow(link, "kind int, a long, b long"), "partenum")
+    return cut(packed.groupBy("p").applyInArrow(link, "kind int, a long, b long, c long"), "partenum")
 
 
 def bits_needed(threshold: float, bits: int, sigmas: float) -> int:
@@ -275,7 +277,7 @@ def bits_needed(threshold: float, bits: int, sigmas: float) -> int:
     return int(np.floor(bits * p - sigmas * np.sqrt(bits * p * (1 - p))))
 
 
-def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text", threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text", threshold: float = 0.5, width: int = 3, least_words: int = 20, sigmas: float = 4.0, block: int = BLOCK) -> DataFrame:
     """(``key``, group_id, links): a row for each text of at least ``least_words`` words. ``group_id`` is the same for all
     members of a group (of one, where nothing is similar); ``links`` counts all other
     sets of runs that are similar to the text's. Null and shorter texts have no row; keys must be whole numbers.
@@ -283,12 +285,13 @@ def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text
     Two texts are linked when they share at least ``threshold`` of their distinct runs of ``width`` words; groups are
     closed under links. Texts with equal sets are always in one group.
     """
-    found = candidate_links(df, key, text, threshold, width, least_words, sigmas)
-    nodes = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("node"))
+    found = candidate_links(df, key, text, threshold, width, least_words, sigmas, block=block)
+    nodes = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("node"), F.col("c").alias("more"))
     links = found.where("kind = 0").select("a", "b").distinct()
-    own = nodes.groupBy("node").agg(F.min("k").alias("k"))
-    side = lambda n: own.select(F.col("node").alias(n), F.col("k").alias(f"k{n}"))
-    links = cut(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb"), "links")
+    # sets are equal where both digests are; a first digest that two sets share only brings more pairs to confirm
+    own = cut(nodes.groupBy("node", "more").agg(F.min("k").alias("first")), "classes")
+    side = lambda n: own.select(F.col("node").alias(n), F.col("first").alias(f"k{n}"))
+    links = cut(links.join(side("a"), "a").join(side("b"), "b").select("ka", "kb"), "links")
     wanted = links.select(F.col("ka").alias("k")).union(links.select("kb")).distinct()
     texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi")
     texts = cut(texts, "texts")
@@ -306,15 +309,16 @@ def near_duplicate_groups(df: DataFrame, key: str = "page_id", text: str = "text
             return kept[k]
 
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("a", "b", "ka", "kb", "ta", "tb")}
+            c = {n: b.column(n).to_pylist() for n in ("ka", "kb", "ta", "tb")}
             yes = [i for i in range(b.num_rows) if similarity(runs(c["ka"][i], c["ta"][i]), runs(c["kb"][i], c["tb"][i])) >= threshold - 1e-12]
-            yield pa.RecordBatch.from_arrays([pa.array([c[n][i] for i in yes], pa.int64()) for n in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([c[n][i] for i in yes], pa.int64()) for n in ("ka", "kb")], ["a", "b"])
 
-    edges = cut(pairs.select("a", "b", "ka", "kb", "ta", "tb").mapInArrow(confirm, "a long, b long"), "edges")
+    edges = cut(pairs.select("ka", "kb", "ta", "tb").mapInArrow(confirm, "a long, b long"), "edges")
     groups = connected_components(edges, "a", "b")
-    degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    member = nodes.select("k", "node").join(groups.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left")
-    return member.select(F.col("k").alias(key), F.coalesce("component", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    degree = edges.select(F.col("a").alias("first")).union(edges.select("b")).groupBy("first").agg(F.count("*").alias("links"))
+    classes = own.join(groups.withColumnRenamed("id", "first"), "first", "left").join(degree, "first", "left")
+    classes = classes.select("node", "more", F.coalesce("component", "first").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return nodes.join(classes, ["node", "more"]).select(F.col("k").alias(key), "group_id", "links")
 
 
 def pairs_within_groups(groups: DataFrame, key: str = "page_id") -> DataFrame:
