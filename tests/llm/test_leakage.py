@@ -19,8 +19,12 @@ def test_wu_manber_finds_every_occurrence():
         text = "".join(r.choice("abc ") for _ in range(120))
         strings = ["".join(r.choice("abc ") for _ in range(r.randint(3, 6))) for _ in range(8)]
         want = sorted((k, s) for s in set(strings) for k in range(len(text)) if text.startswith(s, k))
-        assert sorted(L.WuManber(strings).search(text)) == want
-    assert list(L.WuManber([]).search("abc")) == []
+        search = L.WuManber(strings)
+        begins, numbers = search.search(text)
+        assert sorted((b, search.strings[n]) for b, n in zip(begins.tolist(), numbers.tolist())) == want
+    assert L.WuManber([]).search("abc")[0].size == 0 and L.WuManber(["abcd"]).search("ab")[0].size == 0
+    search = L.WuManber(["ありがとう", "abcdefghij"])
+    assert sorted(search.search("xxありがとうabcdefghijありがとう")[0].tolist()) == [2, 7, 17]
 
 
 def test_common_length():
@@ -53,9 +57,13 @@ def test_search_loses_nothing_against_scanning_all():
     vocabulary = [f"word{k}" for k in range(60)] + ["a", "of", "to"]
     items = [(k, " ".join(r.choice(vocabulary) for _ in range(30))) for k in range(6)]
     ready = L.Items(items)
+    texts = []
     for _ in range(150):
         i = r.randrange(6)
         w = [r.choice(vocabulary) if r.random() < 0.3 else x for x in ready.words[i]]
-        text = " ".join([r.choice(vocabulary) for _ in range(20)] + w + [r.choice(vocabulary) for _ in range(20)])
-        want = {k for k in ready.words if ready.best_passage(k, L.words_of(text)) >= ready.need[k]}
-        assert {k for k, _ in ready.in_text(text)} == want
+        texts.append(" ".join([r.choice(vocabulary) for _ in range(20)] + w + [r.choice(vocabulary) for _ in range(20)]))
+    texts += [None, "", "!"]
+    want = {(n, k) for n, t in enumerate(texts) for k in ready.words if ready.best_passage(k, L.words_of(t)) >= ready.need[k]}
+    assert {(n, k) for n, k, _ in ready.in_texts(texts)} == want and len(want) > 60
+    ready.AT_ONCE = 700
+    assert {(n, k) for n, k, _ in ready.in_texts(texts)} == want
