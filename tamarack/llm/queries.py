@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import boilerplate, language, leakage, lookalike, mixing, partenum, splitting, subjects
@@ -49,8 +49,9 @@ def p2_composition(spark: SparkSession, d: str) -> DataFrame:
     """How many pages treat each subject area, and their share of all assignments."""
     names = _read(spark, d, "categories", "category_id", "category_name").distinct()
     n = _subjects(spark, d).groupBy("category_id").agg(F.count("*").alias("pages"))
-    every = n.agg(F.sum("pages")).first()[0] or 1
-    return names.join(n, "category_id", "left").fillna(0, ["pages"]).withColumn("share", F.round(F.col("pages") / every, 6))
+    every = F.sum("pages").over(Window.partitionBy())  # a row for each subject
+    named = names.join(n, "category_id", "left").fillna(0, ["pages"])
+    return named.withColumn("share", F.coalesce(F.round(F.try_divide(F.col("pages"), every), 6), F.lit(0.0)))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -82,7 +82,7 @@ def start_of(words: list[str]) -> tuple[str, str]:
 def terms(sentence: str) -> list[str]:
     """Words and pairs of words, in lower case, without numbers."""
     w = _WORD.findall(sentence.lower())
-    return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    return w + [*map(" ".join, zip(w, w[1:]))]
 
 
 @dataclass
@@ -102,29 +102,56 @@ class Model:
     least_mass: float = 6.0
     also: float = 0.5
 
-    def embed(self, sentence: str) -> tuple[np.ndarray, float]:
-        at = [self.terms[t] for t in set(terms(sentence)) if t in self.terms]
-        if not at:
-            return np.zeros(self.vectors.shape[1], np.float32), 0.0
-        return self.vectors[at].sum(0), float(self.weights[at].sum())
+    def ready(self) -> "Model":
+        """Similarities are sums over a sentence's terms, so each term's own share of them is worked out once; pairs are looked up
+        by their first word."""
+        self.own = np.concatenate((self.vectors @ self.centroids.T, self.weights[:, None]), 1).astype(np.float32) if self.terms else np.zeros((0, len(self.subjects) + 1), np.float32)
+        self.words, self.pairs = {}, {}
+        for t, i in self.terms.items():
+            a, _, b = t.partition(" ")
+            if b:
+                self.pairs.setdefault(a, {})[b] = i
+            else:
+                self.words[a] = i
+        return self
+
+    def places(self, sentence: str) -> set[int]:
+        """Rows of the terms of a sentence that are known."""
+        w = _WORD.findall(sentence.lower())
+        words, pairs = self.words, self.pairs
+        at = {words[x] for x in w if x in words}
+        at.update(pairs[a][b] for a, b in zip(w, w[1:]) if a in pairs and b in pairs[a])
+        return at
+
+    def pages(self, texts: list[str | None]) -> list[tuple[dict[int, int], int]]:
+        """For each text (subject -> sentences that treat it, sentences that treat any)."""
+        col: list[int] = []
+        sizes: list[int] = []
+        owner: list[int] = []
+        for k, text in enumerate(texts):
+            for s in statements(text, self.starts, self.standing) if text else ():
+                if at := self.places(s):
+                    col.extend(at)
+                    sizes.append(len(at))
+                    owner.append(k)
+        out: list[tuple[dict[int, int], int]] = [({}, 0) for _ in texts]
+        if not sizes:
+            return out
+        start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        total = np.add.reduceat(self.own[np.array(col)], start)
+        sim, top = total[:, :-1], total[:, :-1].max(1)
+        some = (total[:, -1] >= self.least_mass) & (top >= self.least_dot)
+        of = np.array(owner)
+        treating = np.bincount(of[some], minlength=len(texts))
+        row, subject = np.nonzero((sim >= self.also * top[:, None]) & some[:, None])
+        pair, n = np.unique(of[row] * len(self.subjects) + subject, return_counts=True)
+        for p, c in zip(pair.tolist(), n.tolist()):
+            k, j = divmod(p, len(self.subjects))
+            out[k][0][self.subjects[j]] = c
+        return [(found, int(treating[k])) for k, (found, _) in enumerate(out)]
 
     def page(self, text: str | None) -> tuple[dict[int, int], int]:
-        """(subject -> sentences that treat it, sentences that treat any)."""
-        found: Counter = Counter()
-        rows, mass = [], []
-        for s in statements(text or "", self.starts, self.standing):
-            v, m = self.embed(s)
-            if m >= self.least_mass:
-                rows.append(v)
-                mass.append(m)
-        if not rows:
-            return {}, 0
-        sim = np.stack(rows) @ self.centroids.T
-        top = sim.max(1)
-        some = top >= self.least_dot
-        for j in np.nonzero((sim >= self.also * top[:, None]) & some[:, None])[1]:
-            found[self.subjects[j]] += 1
-        return dict(found), int(some.sum())
+        return self.ready().pages([text])[0]
 
 
 def csr_dot(start: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -244,31 +271,33 @@ def fit(df: DataFrame, categories: DataFrame, key: str = "page_id", text: str =
     n = len(ids) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, str] = {}
         for b in batches:
-            total: dict[tuple[int, str], list[int]] = {}
-
-            def add(kind: int, what: str, at: int) -> None:
-                if (c := total.get((kind, what))) is None:
-                    c = total[kind, what] = [0] * n
-                c[at] += 1
-
+            total = [[Counter() for _ in range(n)] for _ in range(4)]
             for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = l if l >= 0 else n - 1
-                add(3, "", at)
+                total[3][at][""] += 1
                 sents = statements(t)
-                for x in {x for s in sents for x in terms(s)}:
-                    add(0, x, at)
-                for x in {line_key(x) for x in t.split("\n")} - {""}:
-                    add(1, x, at)
+                total[0][at].update({x for s in sents for x in terms(s)})
+                if len(keys) > 100_000:
+                    keys.clear()
+                lines = set()
+                for x in t.split("\n"):
+                    if (k := keys.get(x)) is None:
+                        k = keys[x] = line_key(x)
+                    lines.add(k)
+                lines.discard("")
+                total[1][at].update(lines)
+                begins = total[2][at]
                 for s in sents:
                     w = s.split()
                     if 3 < len(w) <= LONG:
-                        add(2, "\t".join(("s", *start_of(w))), at)
-                        for i in range(len(w) - 1):
-                            if w[i][:1].isupper():
-                                add(2, "\t".join(("a", *start_of(w[i : i + 2]))), at)
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([x for _, x in keys], pa.string()), pa.array([total[k] for k in keys], pa.list_(pa.int64()))], ["kind", "what", "c"])
+                        begins["\t".join(("s", *start_of(w)))] += 1
+                        begins.update(["\t".join(("a", *start_of(w[i : i + 2]))) for i in range(len(w) - 1) if w[i][:1].isupper()])
+            for kind, by in enumerate(total):
+                what, c = [*set().union(*by)], []
+                c = [[x[w] for x in by] for w in what]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(what), pa.int32()), pa.array(what, pa.string()), pa.array(c, pa.list_(pa.int64()))], ["kind", "what", "c"])
 
     counted = d.select("t", "l").mapInArrow(count, "kind int, what string, c array<long>")
     sums = counted.groupBy("kind", "what").agg(F.array(*(F.sum(F.col("c")[j]) for j in range(n))).alias("c"))
@@ -291,17 +320,15 @@ def assigned(df: DataFrame, model: Model, key: str = "page_id", text: str = "tex
     """(``key``, category_id, sentences, treating): a row for each page and subject, ``sentences`` being those of the page that
     treat the subject and ``treating`` those that treat any. Null, empty and subjectless texts have no row; equal rows of the
     input give equal rows. No shuffle; the model that goes out is bounded by ``Fitting``."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kind, arrow = dict(df.dtypes)[key], to_arrow_type(df.schema[key].dataType)
+    kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent.value.ready()
         for b in batches:
-            rows = [(k, j, n, every) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for found, every in (m.page(t),) for j, n in sorted(found.items())]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow, pa.int32(), pa.int32(), pa.int32()))], [key, "category_id", "sentences", "treating"])
+            rows = [(k, j, n, every) for k, (found, every) in enumerate(m.pages(b.column(1).to_pylist())) for j, n in sorted(found.items())]
+            at, *columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in columns)], [key, "category_id", "sentences", "treating"])
 
     return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, category_id int, sentences int, treating int")
 
