@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Words and letters that speak for French, and place names that say nothing about a query's language.
+# Words and letters that speak for French, place names that say nothing about a query's language, button
+# captions, header lines and end marks.
 FRENCH_WORDS = (
     "où", "et", "pour", "avec", "gratuit", "gratuite", "gratuits", "gratuites", "trouver", "comment",
     "est-ce", "qu'est-ce", "quel", "quelle", "près", "proche", "besoin", "j'ai", "avoir",
@@ -91,9 +96,9 @@ def query_language(query: Column, fallback: Column | None = None) -> Column:
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case, without ASCII punctuation and English articles, single blanks."""
-    t = F.regexp_replace(F.lower(text), r"\p{Punct}", "")
-    return F.array_join(F.filter(F.split(t, r"\s+"), lambda w: ~w.isin("", "a", "an", "the")), " ")
+    """Lower case, without ASCII punctuation, then without English articles between word boundaries; single blanks."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Punct}", ""), r"(?U)\b(a|an|the)\b", " ")
+    return F.array_join(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), " ")
 
 
 def clean_answer(text: Column) -> Column:
@@ -147,11 +152,14 @@ def without_emoji(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\n", " "), r"http\S+", ""))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
+
+
 def html_text(html: Column) -> Column:
-    """Text nodes of a page joined as they are: scripts, styles, templates and comments left out, tags taken away, the five
-    basic entities and the non-breaking blank decoded."""
+    """Text nodes of a page joined as they are: scripts, styles, templates and comments left out, tags taken away, entities
+    decoded (in Python, for those texts only that hold an ``&``)."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for name, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(to))
-    return t
+    return F.coalesce(_unescaped(F.when(F.contains(t, F.lit("&")), t)), t)

@@ -7,13 +7,16 @@ the best k of every query, and one ranking of those partial lists ends the searc
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.ranking import top_k
+from tamarack.runtime import cut
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -43,45 +46,32 @@ def norm_dot_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ unit(x).T
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, score: Score = dot_scores, exclude_self: bool = True, block: int = 4096) -> DataFrame:
-    """(qid, doc_id, score, rank) of (doc_id, v) for (qid, v). Null vectors and those of another length are left out; ties go to
-    the smaller id; scores are rounded to six places before ranking."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def flat(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of those lists of an Arrow column that have ``size`` numbers; taken from the flat buffer."""
+    ok = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+    return np.nonzero(ok.to_numpy(zero_copy_only=False))[0], column.filter(ok).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
 
-    id_type = to_arrow_type(corpus.schema["doc_id"].dataType)
-    schema = f"qid {dict(queries.dtypes)['qid']}, doc_id {dict(corpus.dtypes)['doc_id']}, score double"
-    q_type = to_arrow_type(queries.schema["qid"].dataType)
-    parts: list[DataFrame] = []
 
-    def scan(ids: list, vectors: np.ndarray) -> DataFrame:
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+def best_of(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best finite scores of each row, and of what ties with the last."""
+    n = min(k, s.shape[1])
+    cut_at = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+    return np.nonzero((s >= cut_at[:, None]) & np.isfinite(s))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not rows:
-                    continue
-                s = np.round(score(q, np.array([v for _, v in rows], float)), 6)
-                docs = np.array([i for i, _ in rows], object)
-                if exclude_self:
-                    s[np.array(ids, object)[:, None] == docs[None, :]] = -np.inf
-                n = min(k, len(rows))
-                cut_at = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-                at_q, at_d = np.nonzero((s >= cut_at[:, None]) & np.isfinite(s))  # ties with the last stay in
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at_q], q_type), pa.array([docs[i] for i in at_d], id_type), pa.array(s[at_q, at_d])], ["qid", "doc_id", "score"])
-
-        return corpus.select("doc_id", "v").mapInArrow(run, schema)
-
-    ids, vectors = [], []
-    for r in queries.select("qid", "v").where("v is not null").toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == block:
-            parts.append(scan(ids, np.array(vectors, float)))
-            ids, vectors = [], []
-    if ids:
-        parts.append(scan(ids, np.array(vectors, float)))
+
+def blocks_of(queries: DataFrame, block: int, *more: str) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(ids, vectors, further columns) of at most ``block`` queries at a time; null vectors are left out."""
+    held: list = []
+    for r in queries.select("qid", "v", *more).where("v is not null").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            yield np.array([r[0] for r in held]), np.array([r[1] for r in held], float), [tuple(r[2:]) for r in held]
+            held = []
+    if held:
+        yield np.array([r[0] for r in held]), np.array([r[1] for r in held], float), [tuple(r[2:]) for r in held]
+
+
+def merged(parts: list[DataFrame], corpus: DataFrame, schema: str, k: int) -> DataFrame:
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long"))
     d = parts[0]
@@ -90,6 +80,43 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, score: Score = dot_sco
     return top_k(d, ["qid"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def search(corpus: DataFrame, queries: DataFrame, k: int, score: Score = dot_scores, exclude_self: bool = True, block: int = 4096, group: str | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank) of (doc_id, v) for (qid, v). Null vectors and those of another length are left out; ties go to
+    the smaller id; scores are rounded to six places before ranking. With ``group``, a column of both sides, a query only meets
+    rows of its own group (none where that is null). Queries go out in blocks, each a pass over the corpus."""
+    schema, q_type = _found(corpus, queries)
+    more = [group] if group else []
+
+    def scan(ids: np.ndarray, vectors: np.ndarray, groups: list) -> DataFrame:
+        sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors, np.array([g[0] for g in groups]) if more else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, groups = sent.value
+            for b in batches:
+                at, x = flat(b.column(1), q.shape[1])
+                if not len(at):
+                    continue
+                keys = b.column(0).take(pa.array(at))
+                docs = keys.to_numpy(zero_copy_only=False)
+                s = np.round(score(q, x), 6)
+                if exclude_self:
+                    s[ids[:, None] == docs[None, :]] = -np.inf
+                if more:
+                    s[groups[:, None] != b.column(2).to_numpy(zero_copy_only=False)[at][None, :]] = -np.inf
+                row, col = best_of(s, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], q_type), keys.take(pa.array(col)), pa.array(s[row, col])], ["qid", "doc_id", "score"])
+
+        return corpus.select("doc_id", "v", *more).mapInArrow(run, schema)
+
+    return merged([scan(*x) for x in blocks_of(queries, block, *more)], corpus, schema, k)
+
+
+def _found(corpus: DataFrame, queries: DataFrame) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return f"qid {dict(queries.dtypes)['qid']}, doc_id {dict(corpus.dtypes)['doc_id']}, score double", to_arrow_type(queries.schema["qid"].dataType)
+
+
 def hamming_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Minus the number of differing bits of the codes x > 0."""
     return -(q.shape[1] - np.where(q > 0, 1.0, -1.0) @ np.where(x > 0, 1.0, -1.0).T) / 2
@@ -161,40 +188,132 @@ def sample_of(corpus: DataFrame, most: int = 20_000) -> np.ndarray:
     return np.array([r[0] for r in rows], float)
 
 
-def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int = 8, score: Score = l2_scores) -> DataFrame:
-    """Search by cells: centroids are fitted on a bounded sample, every row belongs to a cell, and a query only meets
-    rows of its ``probes`` nearest cells. Rows with null vectors are left out. ``cells`` follows the size, at least 1."""
+@dataclass
+class Cells:
+    """An index by cells: centroids, and the table (doc_id, v, cell), written in the order of cells so that a cell is in few files."""
+
+    centroids: np.ndarray
+    table: DataFrame
+
+
+def build_cells(corpus: DataFrame, cells: int | None = None) -> Cells:
+    """Centroids are fitted on a bounded sample; their number follows the square root of the table's size. Every row with a
+    vector gets its nearest cell."""
     x = sample_of(corpus)
-    if not len(x):
-        return search(corpus, queries, k, score)
-    c = kmeans(x, cells or max(1, min(100, len(x) // 10)))
+    n = corpus.count()
+    c = kmeans(x, min(len(x), cells or max(1, min(8192, int(2 * n**0.5))))) if len(x) else np.zeros((1, 1))
+    sent = corpus.sparkSession.sparkContext.broadcast(c)
+    kinds = dict(corpus.dtypes)
 
-    def in_cells(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        s = score(q, x)
-        near = l2_scores(x, c).argmax(1)
-        mine = np.argsort(-l2_scores(q, c), axis=1)[:, :probes]
-        open_ = np.zeros((len(q), len(c)), bool)
-        np.put_along_axis(open_, mine, True, axis=1)
-        return np.where(open_[:, near], s, -np.inf)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for b in batches:
+            at, x = flat(b.column(1), c.shape[1])
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(l2_scores(x, c).argmax(1) if len(at) else np.zeros(0, int), pa.int32())], ["doc_id", "v", "cell"])
 
-    return search(corpus, queries, k, in_cells)
+    d = corpus.select("doc_id", "v").mapInArrow(placed, f"doc_id {kinds['doc_id']}, v {kinds['v']}, cell int")
+    return Cells(c, cut(d.repartitionByRange("cell", "doc_id").sortWithinPartitions("cell"), "cells"))
 
 
-def pq_search(corpus: DataFrame, queries: DataFrame, k: int, parts: int = 16, bits: int = 8, share: float = 0.05, least: int = 100) -> DataFrame:
-    """Product quantisation: each of ``parts`` sub-vectors is replaced by its nearest of 2**bits centroids; the sum of the
-    query's products with them chooses candidates (``share`` of the table, at least ``least``), the exact product ranks them."""
+def search_cells(index: Cells, queries: DataFrame, k: int, probes: int = 8, score: Score = l2_scores, exclude_self: bool = True, block: int = 4096) -> DataFrame:
+    """(qid, doc_id, score, rank): a query is scored against the rows of its ``probes`` nearest cells only; cells that no query of a
+    block probes aren't read."""
+    schema, q_type = _found(index.table, queries)
+
+    def scan(ids: np.ndarray, q: np.ndarray, _: list) -> DataFrame:
+        near = np.argsort(-l2_scores(q, index.centroids), axis=1)[:, :probes]
+        asking = {int(c): np.nonzero((near == c).any(1))[0] for c in np.unique(near)}
+        sent = index.table.sparkSession.sparkContext.broadcast((ids, q, asking))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, asking = sent.value
+            for b in batches:
+                at, x = flat(b.column(1), q.shape[1])
+                cell = b.column(2).to_numpy(zero_copy_only=False)[at]
+                for c in np.unique(cell).tolist():
+                    if (who := asking.get(c)) is None:
+                        continue
+                    mine = np.nonzero(cell == c)[0]
+                    keys = b.column(0).take(pa.array(at[mine]))
+                    s = np.round(score(q[who], x[mine]), 6)
+                    if exclude_self:
+                        s[ids[who][:, None] == keys.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                    row, col = best_of(s, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who][row], q_type), keys.take(pa.array(col)), pa.array(s[row, col])], ["qid", "doc_id", "score"])
+
+        table = index.table
+        if len(asking) < len(index.centroids):
+            table = table.where(F.col("cell").isin(*asking))
+        return table.mapInArrow(run, schema)
+
+    return merged([scan(*x) for x in blocks_of(queries, block)], index.table, schema, k)
+
+
+@dataclass
+class Codes:
+    """An index by product quantisation: a book of centroids for each sub-vector, and the table (doc_id, code), a byte for each."""
+
+    books: list[np.ndarray]
+    table: DataFrame
+
+
+def build_codes(corpus: DataFrame, parts: int = 16, bits: int = 8) -> Codes:
+    """Books are fitted on a bounded sample; every row with a vector gets a code. ``parts`` must divide the vectors' length, and a
+    book has at most 256 centroids."""
     x = sample_of(corpus)
-    if not len(x):
-        return search(corpus, queries, k)
-    books = [kmeans(s, min(1 << bits, len(s))) for s in np.split(x, parts, axis=1)]
+    books = [kmeans(s, min(1 << min(bits, 8), len(s))) for s in np.split(x, parts, axis=1)] if len(x) else []
+    sent = corpus.sparkSession.sparkContext.broadcast(books)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = sent.value
+        for b in batches:
+            if not books:
+                continue
+            at, x = flat(b.column(1), sum(k.shape[1] for k in books))
+            code = np.stack([l2_scores(xs, k).argmax(1) for k, xs in zip(books, np.split(x, len(books), axis=1))], 1).astype(np.uint8) if len(at) else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([r.tobytes() for r in code], pa.binary())], ["doc_id", "code"])
+
+    return Codes(books, cut(corpus.select("doc_id", "v").mapInArrow(coded, f"doc_id {dict(corpus.dtypes)['doc_id']}, code binary"), "codes"))
+
 
-    def coded(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(q), len(x)))
-        for book, qs, xs in zip(books, np.split(q, parts, axis=1), np.split(x, parts, axis=1)):
-            out += (qs @ book.T)[:, l2_scores(xs, book).argmax(1)]
-        return out
+def search_codes(index: Codes, queries: DataFrame, k: int, exclude_self: bool = True, block: int = 512) -> DataFrame:
+    """(qid, doc_id, score, rank) by the sum of the query's products with the centroids of a code; vectors aren't read."""
+    schema, q_type = _found(index.table, queries)
 
-    near = search(corpus, queries, candidates(corpus, share, max(k, least)), coded).select("qid", "doc_id")
+    def scan(ids: np.ndarray, q: np.ndarray, _: list) -> DataFrame:
+        tables = [part @ book.T for book, part in zip(index.books, np.split(q, len(index.books), axis=1))]
+        sent = index.table.sparkSession.sparkContext.broadcast((ids, tables))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, tables = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                code = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                s = np.zeros((len(ids), b.num_rows))
+                for j, t in enumerate(tables):
+                    s += t[:, code[:, j]]
+                s = np.round(s, 6)
+                if exclude_self:
+                    s[ids[:, None] == b.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                row, col = best_of(s, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], q_type), b.column(0).take(pa.array(col)), pa.array(s[row, col])], ["qid", "doc_id", "score"])
+
+        return index.table.mapInArrow(run, schema)
+
+    return merged([scan(*x) for x in blocks_of(queries, block)] if index.books else [], index.table, schema, k)
+
+
+def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int = 8, score: Score = l2_scores) -> DataFrame:
+    """An index by cells is built and searched; see ``build_cells`` and ``search_cells`` for one that is kept."""
+    return search_cells(build_cells(corpus, cells), queries, k, probes, score)
+
+
+def pq_search(corpus: DataFrame, queries: DataFrame, k: int, parts: int = 16, bits: int = 8, share: float = 0.05, least: int = 100) -> DataFrame:
+    """Codes choose candidates (``share`` of the table, at least ``least``), the exact product ranks them; see ``build_codes`` and
+    ``search_codes`` for an index that is kept."""
+    near = search_codes(build_codes(corpus, parts, bits), queries, candidates(corpus, share, max(k, least))).select("qid", "doc_id")
     return reranked(near, corpus, queries, k)
 
 

@@ -56,6 +56,39 @@ def context_prompt(demos: Column, docs: Column, question: Column) -> Column:
     return F.concat(F.array_join(F.transform(demos, lambda d: F.concat(d, F.lit("\n"))), ""), F.lit("Context:\n"), context, F.lit(INSTRUCTION), case(question))
 
 
+#: Instruction of the loops with a retrieval for every step; a fixed value.
+STEP_INSTRUCTION = "Answer in t he same format as before.\n"
+
+
+def step_prompt(demos: Column, docs: Column, question: Column, done: Column, instruction: str = STEP_INSTRUCTION) -> Column:
+    """The prompt in the middle of an answer: context, instruction, case, a blank and what was answered so far."""
+    context = F.array_join(F.transform(docs, lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), d, F.lit("\n"))), "")
+    return F.concat(F.array_join(F.transform(demos, lambda d: F.concat(d, F.lit("\n"))), ""), F.lit("Context:\n"), context, F.lit(instruction), case(question), F.lit(" "), done)
+
+
+def stopped(text: Column, before: Column, tokens: Column, most: int) -> Column:
+    """Whether an answer is done: too many tokens, no longer than before, or it names its answer."""
+    return (tokens > most) | (F.length(text) <= F.length(before)) | F.contains(text, F.lit("the answer is"))
+
+
+def first_unsure(trace: DataFrame, threshold: float, solver: str = "avg") -> DataFrame:
+    """(qid, sentence_no, unsure, before, masked) of (qid, pos, token, logprob): tokens are laid to sentences, which end with a token
+    that ends in ``. ! ?``; the first one whose mean, largest or smallest 1 - exp(logprob) is over the threshold, what was said
+    before it, and itself with its unsure tokens as [xxx]. A text without one has unsure false, all of it as ``before``, no masked."""
+    w = Window.partitionBy("qid").orderBy("pos")
+    d = trace.withColumn("p", 1 - F.exp("logprob"))
+    d = d.withColumn("sentence_no", F.coalesce(F.sum(F.col("token").rlike(r"[.!?]$").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    value = {"avg": F.avg("p"), "max": F.max("p"), "min": F.min("p")}[solver]
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", c.alias("t")))), lambda x: x["t"]), " ")
+    s = d.groupBy("qid", "sentence_no").agg((value > threshold).alias("bad"), joined(F.col("token")).alias("said"), joined(F.when(F.col("p") > threshold, "[xxx]").otherwise(F.col("token"))).alias("masked"))
+    ordered = F.sort_array(F.collect_list(F.struct("sentence_no", "bad", "said", "masked")))
+    s = s.groupBy("qid").agg(ordered.alias("s"))
+    at = F.array_position(F.transform("s", lambda x: x["bad"]), True)
+    before = F.array_join(F.transform(F.when(at > 0, F.slice("s", F.lit(1), (at - 1).cast("int"))).otherwise(F.col("s")), lambda x: x["said"]), " ")
+    bad = F.try_element_at("s", F.when(at > 0, at.cast("int")))
+    return s.select("qid", bad["sentence_no"].alias("sentence_no"), (at > 0).alias("unsure"), before.alias("before"), bad["masked"].alias("masked"))
+
+
 def docs_in_order(hits: DataFrame) -> DataFrame:
     """(qid, docs): texts by rank. A query has at most the k hits of its run."""
     return hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("h")).select("qid", F.col("h.text").alias("docs"))

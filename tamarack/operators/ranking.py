@@ -11,6 +11,16 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
+def better(metric: str, score: str) -> Column:
+    """Order of a score from the best on: distances (l2, hamming) rise, all others fall."""
+    return F.asc(score) if metric.lower() in ("l2", "euclidean", "hamming") else F.desc(score)
+
+
+def shuffled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The first n rows of a shuffle by a hash of seed and key; the same for the same seed."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
+
+
 def first_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the order."""
     return top_k(df, by, order, 1, "__rank").drop("__rank")
@@ -52,10 +62,24 @@ def pooled(run: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def judged_sample(corpus: DataFrame, judged: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """All judged documents and, up to n in all, others in the order of a hash of their key."""
-    must = corpus.join(judged.select(key).distinct(), key, "left_semi")
-    rest = corpus.join(judged.select(key).distinct(), key, "left_anti")
-    return must.unionByName(rest.orderBy(F.md5(F.col(key).cast("string")), key).limit(max(0, n - must.count())))
+    """All judged documents and, up to n in all, others in the order of a hash of their key. Nothing is sorted as a whole:
+    the hash's first digits are counted, and only the documents of the digits in which the quota ends are ranked."""
+    flagged = corpus.join(judged.select(key).distinct().withColumn("__judged", F.lit(True)), key, "left")
+    digest = F.md5(F.col(key).cast("string"))
+    d = flagged.withColumns({"__h": digest, "__b": F.substring(digest, 1, 3)})
+    counts = d.groupBy("__b").agg(F.count(F.when(F.col("__judged"), 1)).alias("must"), F.count(F.when(F.col("__judged").isNull(), 1)).alias("rest")).orderBy("__b").collect()
+    left, last = n - sum(r["must"] for r in counts), ""
+    for r in counts:  # at most 4,096 rows
+        last = r["__b"]
+        if left <= r["rest"]:
+            break
+        left -= r["rest"]
+    else:
+        last = "~"  # the quota holds all
+    ends = d.where(F.col("__judged").isNull() & (F.col("__b") == last))
+    ends = top_k(ends.withColumn("__g", F.lit(0)), ["__g"], [F.asc("__h"), F.asc(key)], max(0, left), "__r")
+    before = d.where(F.col("__judged") | (F.lit(left >= 0) & (F.col("__b") < last)))
+    return before.select(*corpus.columns).unionByName(ends.select(*corpus.columns))
 
 
 def nested(run: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:

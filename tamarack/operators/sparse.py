@@ -7,6 +7,7 @@ queries at once with the postings; only postings of query terms reach the join o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,41 +20,59 @@ from tamarack.runtime import cut
 
 @dataclass
 class SparseIndex:
-    """postings: bundle, doc_id, term, tf, dl; terms: bundle, term, df; stats: bundle, n, avgdl, and mean_idf (of the Okapi form)."""
+    """postings: bundle, doc_id, term, tf, dl; docs: bundle, doc_id, dl, of all documents; derived from these, terms: bundle, term, df,
+    and stats: bundle, n, avgdl, and mean_idf (of the Okapi form)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    docs: DataFrame
 
 
 def build(corpus: DataFrame, text: str = "text", bundle: Column | None = None, tokenizer=tokens) -> SparseIndex:
-    """Index of (doc_id, ``text``). Documents without a token count in n but have no postings."""
-    d = corpus.select("doc_id", F.col(text).alias("t"), (F.lit("") if bundle is None else bundle).alias("bundle"))
-    # Texts are shuffled by document once, before they are taken apart; counting terms needs no further shuffle then.
-    w = d.repartition("doc_id").select("bundle", "doc_id", tokenizer(F.col("t")).alias("w"))
-    postings = w.select("bundle", "doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("bundle", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings = cut(postings, "postings")
-    df = postings.groupBy("bundle", "term").agg(F.count("*").alias("df"))
-    total = postings.groupBy("bundle").agg(F.sum("tf").alias("tokens"))
-    lengths = d.groupBy("bundle").agg(F.count("*").alias("n")).join(total, "bundle", "left").select("bundle", "n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"))
-    lengths = cut(lengths, "lengths")
+    """Index of (doc_id, ``text``). Documents without a token count in n but have no postings. Texts aren't shuffled, only the
+    terms counted within a task are."""
+    d = corpus.select((F.lit("") if bundle is None else bundle).alias("bundle"), "doc_id", tokenizer(F.col(text)).alias("w"))
+    d = d.select("bundle", "doc_id", F.size("w").cast("long").alias("dl"), "w")
+    postings = d.select("bundle", "doc_id", "dl", F.explode("w").alias("term")).groupBy("bundle", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return derived(cut(postings.select("bundle", "doc_id", "term", "tf", "dl"), "postings"), cut(d.drop("w"), "docs"))
+
+
+def derived(postings: DataFrame, docs: DataFrame) -> SparseIndex:
+    """The index of given postings and documents: frequencies and statistics are counted from them."""
+    df = cut(postings.groupBy("bundle", "term").agg(F.count("*").alias("df")), "terms")
+    lengths = docs.groupBy("bundle").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     mean = df.join(lengths, "bundle").groupBy("bundle").agg(F.avg(okapi_idf0()).alias("mean_idf"))
-    return SparseIndex(postings, df, cut(lengths.join(mean, "bundle", "left"), "stats"))
+    return SparseIndex(postings, df, cut(lengths.join(mean, "bundle", "left"), "stats"), docs)
 
 
-def upsert(index: SparseIndex, changed: DataFrame, text: str = "text", bundle: Column | None = None, tokenizer=tokens) -> DataFrame:
-    """Postings after documents were added or replaced, the last version of each id winning. Only the changed
-    documents are tokenised; frequencies and lengths follow from the postings."""
-    new = build(changed, text, bundle, tokenizer).postings
-    return index.postings.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.select(*index.postings.columns))
+def without(index: SparseIndex, gone: DataFrame) -> SparseIndex:
+    """The index after documents (doc_id) were deleted; frequencies and statistics follow."""
+    ids = gone.select("doc_id").distinct()
+    return derived(cut(index.postings.join(ids, "doc_id", "left_anti").select(*index.postings.columns), "postings"), cut(index.docs.join(ids, "doc_id", "left_anti").select(*index.docs.columns), "docs"))
 
 
-def analyzed(language: str = "english"):
-    """A tokeniser without the stop words of a language."""
+def upsert(index: SparseIndex, changed: DataFrame, text: str = "text", bundle: Column | None = None, tokenizer=tokens) -> SparseIndex:
+    """The index after documents were added or replaced, the last version of each id winning. Only the changed documents are
+    tokenised; frequencies and statistics follow."""
+    new, ids = build(changed, text, bundle, tokenizer), changed.select("doc_id").distinct()
+    kept = lambda d, n: cut(d.join(ids, "doc_id", "left_anti").select(*d.columns).unionByName(n), "merged")
+    return derived(kept(index.postings, new.postings), kept(index.docs, new.docs))
+
+
+def with_generated(corpus: DataFrame, generated: DataFrame, text: str = "text") -> DataFrame:
+    """``corpus`` with the generated questions (doc_id, query) of each document added to its text, in their order."""
+    made = generated.where("query is not null").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("query")), " ").alias("__made"))
+    return corpus.join(made, "doc_id", "left").withColumn(text, F.concat_ws(" ", F.col(text), F.col("__made"))).drop("__made")
+
+
+def analyzed(language: str = "english", stem: Callable[[Column], Column] | None = None):
+    """A tokeniser without the stop words of a language; ``stem`` maps a token to its stem (an expression or a vectorised function)."""
     from pyspark.ml.feature import StopWordsRemover
 
     stop = StopWordsRemover.loadDefaultStopWords(language)
-    return lambda text: F.filter(tokens(F.regexp_replace(text, r"[\p{Punct}]", " ")), lambda x: ~x.isin(*stop))
+    kept = lambda text: F.filter(tokens(F.regexp_replace(text, r"[\p{Punct}]", " ")), lambda x: ~x.isin(*stop))
+    return kept if stem is None else lambda text: F.transform(kept(text), stem)
 
 
 def weighted_terms(postings: DataFrame, weights: DataFrame) -> DataFrame:
@@ -85,7 +104,7 @@ def query_terms(queries: DataFrame, text: str = "text", tokenizer=tokens, last:
 
 def bm25(index: SparseIndex, terms: DataFrame, kind: str = "okapi", k1: float = 1.5, b: float = 0.75, saturation: bool = True) -> DataFrame:
     """(qid, bundle, doc_id, score) of every document that shares a term with a query (qid, term, qn)."""
-    w = index.terms.join(terms.select("term").distinct(), "term", "left_semi").join(F.broadcast(index.stats), "bundle")
+    w = index.terms.join(terms.select("term").distinct(), "term", "left_semi").join(index.stats, "bundle")
     w = w.select("bundle", "term", idf(kind).alias("idf"), "avgdl")
     hits = terms.join(w, "term").join(index.postings, ["bundle", "term"])
     part = F.col("qn") * F.col("idf") * F.col("tf") * ((k1 + 1) if saturation else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -96,7 +115,7 @@ def tfidf_vectors(index: SparseIndex, features: int = 10000) -> DataFrame:
     """(bundle, doc_id, term, weight, idf): L2-normalised TF-IDF rows over the ``features`` terms of the largest frequency."""
     total = index.postings.groupBy("bundle", "term").agg(F.sum("tf").alias("cf"))
     kept = top_k(total, ["bundle"], [F.desc("cf"), F.asc("term")], features, "__r").select("bundle", "term")
-    w = index.terms.join(kept, ["bundle", "term"]).join(F.broadcast(index.stats), "bundle").select("bundle", "term", idf("smooth").alias("idf"))
+    w = index.terms.join(kept, ["bundle", "term"]).join(index.stats, "bundle").select("bundle", "term", idf("smooth").alias("idf"))
     d = index.postings.join(w, ["bundle", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = d.groupBy("bundle", "doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return d.join(norm, ["bundle", "doc_id"]).select("bundle", "doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"), "idf")
@@ -110,11 +129,10 @@ def tfidf(vectors: DataFrame, terms: DataFrame) -> DataFrame:
     return q.join(vectors, ["bundle", "term"]).groupBy("qid", "bundle", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
 
 
-def impact(weights: DataFrame, terms: DataFrame, weighted: bool) -> DataFrame:
-    """(qid, doc_id, score) from (doc_id, term, weight): each occurrence of a query term counts its weight, times the query's
-    own weight (column ``qn``) where ``weighted``; both forms sum qn * weight, as repetition is a weight."""
-    q = terms if weighted else terms.withColumn("qn", F.col("qn"))
-    return q.join(weights, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * F.col("weight")), 6).alias("score"))
+def impact(weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, doc_id, score) from (doc_id, term, weight): the sum of qn * weight. ``qn`` is a query term's own weight, or how often
+    it occurs where queries have none."""
+    return terms.join(weights, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * F.col("weight")), 6).alias("score"))
 
 
 def pruned(weights: DataFrame, n: int) -> DataFrame:

@@ -115,17 +115,43 @@ def organisation_blocks(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, header, 1)).alias("name"), trimmed(F.regexp_replace(b, header, "")).alias("block")))
 
 
-def chunk_organisations(df: DataFrame, key: str, text: str, size: int = 500) -> DataFrame:
+#: Separators of what is cut within a block and of documents without headers; fixed values.
+BLOCK_SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+
+
+def chunk_organisations(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50, recursive: bool = False) -> DataFrame:
     """(``key``, chunk_id, organization_name, chunk_index, content): a chunk for each organisation; a block of more than twice
-    ``size`` is cut into fixed pieces, whose ids end in ``_sub_n``. The index counts all chunks of a document."""
-    d = df.select(key, F.posexplode(organisation_blocks(F.col(text))).alias("at", "o"))
-    long = F.length("o.block") > 2 * size
-    d = d.select(key, "at", "o.name", long.alias("long"), F.posexplode(F.when(long, fixed_windows(F.col("o.block"), size)).otherwise(F.array("o.block"))).alias("sub", "content"))
+    ``size`` is cut into fixed pieces, or at separators where ``recursive``, and their ids end in ``_sub_n``. The index counts
+    all chunks of a document. A document without a header has no organisation: it is one chunk, or cut at separators
+    where ``recursive``, with ids ``_chunk_n``. Null texts have no row."""
+
+    @F.pandas_udf("array<string>")
+    def at_separators(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: split_recursive(t, size, overlap, BLOCK_SEPARATORS))
+
+    d = df.select(key, F.col(text).alias("__t")).where("__t is not null").withColumn("__o", organisation_blocks(F.col("__t")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("__t").alias("block")))
+    d = d.select(key, (F.size("__o") > 0).alias("org"), F.posexplode(F.when(F.size("__o") > 0, F.col("__o")).otherwise(whole)).alias("at", "o"))
+    long = F.when(F.col("org"), F.length("o.block") > 2 * size).otherwise(F.lit(recursive))
+    pieces = at_separators(F.when(long, F.col("o.block"))) if recursive else fixed_windows(F.col("o.block"), size)
+    d = d.select(key, "org", "at", "o.name", long.alias("long"), F.posexplode(F.when(long, pieces).otherwise(F.array("o.block"))).alias("sub", "content"))
     d = d.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(key).orderBy("at", "sub")) - 1).cast("long"))
-    name = F.concat_ws("", F.col(key).cast("string"), F.lit("_org_"), F.col("chunk_index").cast("string"), F.when(F.col("long"), F.concat(F.lit("_sub_"), F.col("sub").cast("string"))))
+    part = F.when(F.col("org") & F.col("long"), F.concat(F.lit("_sub_"), F.col("sub").cast("string")))
+    name = F.concat_ws("", F.col(key).cast("string"), F.when(F.col("org"), "_org_").otherwise("_chunk_"), F.col("chunk_index").cast("string"), part)
     return d.select(key, name.alias("chunk_id"), F.col("name").alias("organization_name"), "chunk_index", "content")
 
 
+def categorise_files(pages: DataFrame, names: DataFrame, categories: DataFrame, file: str = "file_name") -> DataFrame:
+    """Pages with the category that their whole file belongs to: ``names`` maps (base, category_name), where base is the file's
+    name without ``.json`` and ``_en``; category_id comes from ``categories`` by the same name, subcategory is empty. Files
+    without a category are left out."""
+    base = F.replace(F.replace(F.col(file), F.lit(".json"), F.lit("")), F.lit("_en"), F.lit(""))
+    ids = categories.groupBy("category_name").agg(F.min("category_id").alias("category_id"))
+    known = names.join(ids, "category_name").select(F.col("base").alias("__base"), "category_id", "category_name")
+    return pages.withColumn("__base", base).join(known, "__base").drop("__base").withColumn("subcategory", F.lit(""))
+
+
 def chunk_stats(chunks: DataFrame, text: str) -> DataFrame:
     n = F.length(text)
     return chunks.agg(F.count("*").alias("total_chunks"), F.round(F.avg(n), 6).alias("avg_size"), F.min(n).cast("long").alias("min_size"), F.max(n).cast("long").alias("max_size"), F.sum(n).cast("long").alias("total_chars"))

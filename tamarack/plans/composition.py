@@ -63,7 +63,7 @@ _TWO = f"""b1 AS ({S.top("s", 10)}), f2 AS (SELECT qid, doc_id, score FROM (WITH
 @query(f"WITH {S.index()}, {S.terms()}, {S.scored()}, {_TWO} SELECT *, 'okapi' AS source FROM b1 UNION ALL SELECT *, 'lucene' AS source FROM b2")
 def hybrid_union(spark, d):
     """Two systems side by side, not fused."""
-    other = lexical.best(sparse.bm25(sparse.build(lexical.docs(spark, d)), sparse.query_terms(lexical.items(spark, d)), "lucene", 0.9, 0.4))
+    other = lexical.best(sparse.bm25(lexical.index_of(spark, d), sparse.query_terms(lexical.items(spark, d)), "lucene", 0.9, 0.4))
     return lexical.bm25_topk(spark, d).withColumn("source", F.lit("okapi")).unionByName(other.withColumn("source", F.lit("lucene")))
 
 
@@ -128,13 +128,13 @@ def encoded_topk(spark, d):
 def analyzed_topk(spark, d):
     """Scoring without stop words."""
     t = sparse.analyzed("english")
-    return lexical.best(sparse.bm25(sparse.build(lexical.docs(spark, d), tokenizer=t), sparse.query_terms(lexical.items(spark, d), tokenizer=t), "lucene", 1.2, 0.75))
+    return lexical.best(sparse.bm25(lexical.index_of(spark, d, "analyzed", tokenizer=t), sparse.query_terms(lexical.items(spark, d), tokenizer=t), "lucene", 1.2, 0.75))
 
 
 @query()
 def retrieval_rounds(spark, d):
     """Two rounds of retrieve and append: each adds the first sentence of the best document for what there is so far."""
-    index, corpus = sparse.build(lexical.docs(spark, d)), lexical.docs(spark, d).select("doc_id", F.col("text").alias("t"))
+    index, corpus = lexical.index_of(spark, d), lexical.docs(spark, d).select("doc_id", F.col("text").alias("t"))
 
     def step(state):
         asked = state.select("qid", F.concat_ws(" ", "text", "answer").alias("text"))

@@ -14,15 +14,15 @@ from tamarack.plans.registry import query, table
 
 KS = [1, 3, 5, 10]
 _R = f"""WITH {S.nearest(S.DOT)}, {S.QRELS}, ks AS (SELECT unnest([1, 3, 5, 10])::BIGINT AS k),
-    r AS (SELECT run.qid, run.doc_id, rank, coalesce(qrels.score, 0) AS rel FROM run LEFT JOIN qrels USING (qid, doc_id) WHERE run.qid IN (SELECT qid FROM qrels)),
+    r AS (SELECT run.qid, run.doc_id, rank, row_number() OVER (PARTITION BY run.qid ORDER BY run.score DESC, CAST(run.doc_id AS VARCHAR) DESC) AS trec, coalesce(qrels.score, 0) AS rel FROM run LEFT JOIN qrels USING (qid, doc_id) WHERE run.qid IN (SELECT qid FROM qrels)),
     h AS (SELECT *, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM r),
     n AS (SELECT count(DISTINCT qid) AS n FROM qrels)"""
 _IDEAL = """i AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS i FROM qrels),
     best AS (SELECT qid, k, sum(CASE WHEN i <= k THEN score / log2(i + 1) END) AS idcg, count(*) AS relevant FROM i, ks GROUP BY qid, k)"""
 
 
-@query(f"""{_R}, {_IDEAL}, q AS (SELECT qid, k, coalesce(sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) END), 0) AS dcg,
-    coalesce(sum(CASE WHEN rank <= k AND rel >= 1 THEN hits / rank::DOUBLE END), 0) AS ap, sum(CASE WHEN rank <= k AND rel >= 1 THEN 1 ELSE 0 END) AS found FROM h, ks GROUP BY qid, k)
+@query(f"""{_R.replace("ORDER BY rank) AS hits", "ORDER BY trec) AS hits")}, {_IDEAL}, q AS (SELECT qid, k, coalesce(sum(CASE WHEN trec <= k THEN rel / log2(trec + 1) END), 0) AS dcg,
+    coalesce(sum(CASE WHEN trec <= k AND rel >= 1 THEN hits / trec::DOUBLE END), 0) AS ap, sum(CASE WHEN trec <= k AND rel >= 1 THEN 1 ELSE 0 END) AS found FROM h, ks GROUP BY qid, k)
     SELECT k, round(avg(coalesce(dcg / idcg, 0)), 5) AS ndcg, round(avg(coalesce(ap / relevant, 0)), 5) AS map, round(avg(coalesce(found / relevant::DOUBLE, 0)), 5) AS recall, round(avg(found / k::DOUBLE), 5) AS precision
     FROM q LEFT JOIN best USING (qid, k) GROUP BY k""")
 def ndcg_map_recall_precision(spark, d):
@@ -46,7 +46,9 @@ def hole_at_k(spark, d):
 
 _PAIRS = """p AS (SELECT query_id, question AS gold, lag(question) OVER (PARTITION BY set_no, persona, difficulty ORDER BY idx, query_id) AS prediction
     FROM (SELECT DISTINCT query_id, set_no, persona, difficulty, idx, question FROM cdn_rag_queries))"""
-_NORM = "list_filter(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[[:punct:]]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+_GONE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(a|an|the)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \3', 'g')"
+#: Articles that follow one another share a boundary, hence twice.
+_NORM = "list_filter(string_split_regex(" + _GONE.format(_GONE.format("regexp_replace(lower(coalesce({}, '')), '[[:punct:]]', '', 'g')").replace("{{", "{").replace("}}", "}")).replace("{L}", "{{L}}").replace("{M}", "{{M}}").replace("{N}", "{{N}}") + r", '\s+'), lambda w: w <> '')"
 
 
 def answer_pairs(spark, d):

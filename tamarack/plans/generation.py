@@ -38,9 +38,9 @@ def passage_previews(spark, d):
     return prompts.docs_in_order(hits).select("qid", writers.preview(F.col("docs")).alias("passages"))
 
 
-@query("SELECT doc_id, regexp_replace(replace(replace(string_split_regex(a, '(?i)Question\\s*:')[1], '<|eot_id|>', ''), '<|end_of_text|>', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS answer FROM (SELECT doc_id, ' ' || substr(text, 1, 80) || '<|eot_id|> Question : ' || coalesce(title, '') AS a FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, regexp_replace(replace(replace(string_split_regex(a, '(?i)Question\\s*:')[1], '<|eot_id|>', ''), '<|end_of_text|>', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS answer FROM (SELECT doc_id, ' ' || text || '<|eot_id|> Question : ' || coalesce(title, '') AS a FROM documents WHERE text IS NOT NULL)")
 def answer_cleanup(spark, d):
-    made = F.concat(F.lit(" "), F.substring("text", 1, 80), F.lit("<|eot_id|> Question : "), F.coalesce("title", F.lit("")))
+    made = F.concat(F.lit(" "), F.col("text"), F.lit("<|eot_id|> Question : "), F.coalesce("title", F.lit("")))
     return table(spark, d, "documents", "doc_id", "title", "text").where("text is not null").select("doc_id", T.clean_answer(made).alias("answer"))
 
 
@@ -82,6 +82,26 @@ def merged_tokens(spark, d):
     return prompts.merge_tokens(t).select("qid", "word_no", "word", F.round("logprob", 6).alias("logprob"))
 
 
+@query(f"""WITH t AS (SELECT item_id, unnest({S.TOKENS.format("text")}) AS w, unnest(range(len({S.TOKENS.format("text")}))) AS pos FROM eval_items),
+    n AS (SELECT *, 1 - exp(-length(w) / 10.0) AS p, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sn FROM t),
+    s AS (SELECT item_id, sn, avg(p) > 0.4 AS bad, string_agg(w, ' ' ORDER BY pos) AS said, string_agg(CASE WHEN p > 0.4 THEN '[xxx]' ELSE w END, ' ' ORDER BY pos) AS masked FROM n GROUP BY ALL),
+    f AS (SELECT item_id, min(CASE WHEN bad THEN sn END) AS bad_at FROM s GROUP BY item_id)
+    SELECT item_id AS qid, bad_at::BIGINT AS sentence_no, bad_at IS NOT NULL AS unsure, coalesce(string_agg(said, ' ' ORDER BY sn) FILTER (WHERE bad_at IS NULL OR sn < bad_at), '') AS before, max(masked) FILTER (WHERE sn = bad_at) AS masked FROM s JOIN f USING (item_id) GROUP BY item_id, bad_at""")
+def first_unsure_sentence(spark, d):
+    """Tokens of the items, their log probability being minus their length over ten."""
+    t = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    return prompts.first_unsure(t.withColumn("logprob", F.length("token") / -10.0), 0.4)
+
+
+@query(f"""WITH {S.index()}, {S.terms()}, {S.scored()}, f AS ({S.top("s", 2)}), c AS (SELECT qid, string_agg('[' || rank || '] ' || documents.text || chr(10), '' ORDER BY rank) AS c FROM f JOIN documents USING (doc_id) GROUP BY qid)
+    SELECT qid, 'Context:' || chr(10) || c || 'Answer in t he same format as before.' || chr(10) || 'Question: ' || text || chr(10) || 'Answer: so far' AS prompt, length(text) <= 150 AS done FROM c JOIN q USING (qid)""")
+def step_prompts(spark, d):
+    q = lexical.items(spark, d)
+    docs = prompts.docs_in_order(lexical.best(lexical.okapi(spark, d), 2).join(lexical.docs(spark, d).select("doc_id", "text"), "doc_id"))
+    done = prompts.stopped(F.col("text"), F.lit("x" * 150), F.lit(1), 9)
+    return q.join(docs, "qid").select("qid", prompts.step_prompt(F.array().cast("array<string>"), F.col("docs"), F.col("text"), F.lit("so far")).alias("prompt"), done.alias("done"))
+
+
 @query("""SELECT query_id, (c - coalesce(lag(c) OVER w, 0))::BIGINT AS chars_delta FROM (SELECT query_id, set_no, persona, sum(length(question)) OVER (PARTITION BY set_no, persona ORDER BY query_id ROWS UNBOUNDED PRECEDING) AS c
     FROM (SELECT DISTINCT query_id, set_no, persona, question FROM cdn_rag_queries WHERE question IS NOT NULL)) WINDOW w AS (PARTITION BY set_no, persona ORDER BY query_id)""")
 def counter_deltas(spark, d):

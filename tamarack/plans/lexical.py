@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import query_language, tokens
+from tamarack.functions.text import query_language, tokens, tokens_word
 from tamarack.operators import ranking, sparse
 from tamarack.plans import sql as S
 from tamarack.plans.registry import query, table
+from tamarack.runtime import delete_at_exit, new_path
+from tamarack.sources import writers
 
 ORDER = [F.desc, F.asc]
 
@@ -29,12 +31,30 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "title", "text", "lang")
 
 
+_INDEXES: dict[tuple, sparse.SparseIndex] = {}
+
+
+def index_of(spark: SparkSession, d: str, kind: str = "text", **settings) -> sparse.SparseIndex:
+    """The stored index of the documents, made once in a session for each state of their table's files."""
+    jvm, path = spark._jvm, f"{d}/documents.parquet"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    summary = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, path, kind, summary.getContentSummary(p).getLength(), summary.getFileStatus(p).getModificationTime())
+    if key not in _INDEXES:
+        to = new_path(spark, "index")
+        writers.save_index(sparse.build(docs(spark, d), **settings), to)
+        delete_at_exit(spark, to)
+        _INDEXES[key] = writers.load_index(spark, to)
+    return _INDEXES[key]
+
+
 def best(scored: DataFrame, k: int = 10) -> DataFrame:
-    return ranking.top_k(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], k).select("qid", "doc_id", "score", "rank")
+    """The first k of each query, without scores up to 0."""
+    return ranking.top_k(scored.where("score > 0"), ["qid"], [F.desc("score"), F.asc("doc_id")], k).select("qid", "doc_id", "score", "rank")
 
 
 def okapi(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.bm25(sparse.build(docs(spark, d)), sparse.query_terms(items(spark, d)))
+    return sparse.bm25(index_of(spark, d), sparse.query_terms(items(spark, d)))
 
 
 @query(f"WITH {S.index()}, {S.terms()}, {S.scored()} {S.top('s', 10)}")
@@ -44,12 +64,12 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {S.index()}, {S.terms()}, {S.scored('lucene', 1.2, 0.75)} {S.top('s', 10)}")
 def bm25_lucene_topk(spark, d):
-    return best(sparse.bm25(sparse.build(docs(spark, d)), sparse.query_terms(items(spark, d)), "lucene", 1.2, 0.75))
+    return best(sparse.bm25(index_of(spark, d), sparse.query_terms(items(spark, d)), "lucene", 1.2, 0.75))
 
 
 @query(f"WITH {S.index()}, {S.terms(QUESTIONS)}, {S.scored('lucene', 0.9, 0.4, False)} {S.top('s', 10)}")
 def bm25_short_queries_topk(spark, d):
-    return best(sparse.bm25(sparse.build(docs(spark, d)), sparse.query_terms(questions(spark, d)), "lucene", 0.9, 0.4, False))
+    return best(sparse.bm25(index_of(spark, d), sparse.query_terms(questions(spark, d)), "lucene", 0.9, 0.4, False))
 
 
 @query(
@@ -57,7 +77,7 @@ def bm25_short_queries_topk(spark, d):
     qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest(w[greatest(1, len(w) - 11):]) AS term FROM w) GROUP BY ALL), {S.scored()} {S.top("s", 10)}"""
 )
 def bm25_truncated_query_topk(spark, d):
-    return best(sparse.bm25(sparse.build(docs(spark, d)), sparse.query_terms(items(spark, d), last=12)))
+    return best(sparse.bm25(index_of(spark, d), sparse.query_terms(items(spark, d), last=12)))
 
 
 @query(f"WITH {S.index()}, {S.terms()}, {S.scored()}, f AS (SELECT s.* FROM s JOIN documents USING (doc_id) WHERE lang = 'en') {S.top('f', 10)}")
@@ -74,12 +94,12 @@ def _field(name: str) -> str:
 @query(f"WITH p AS ({_field('title')} UNION ALL {_field('text')}), s2 AS (SELECT qid, doc_id, round(max(score) + 0.5 * (sum(score) - max(score)), 6) AS score FROM p GROUP BY ALL) {S.top('s2', 10)}")
 def bm25_multifield_bestfields(spark, d):
     terms = sparse.query_terms(items(spark, d))
-    parts = [sparse.bm25(sparse.build(docs(spark, d), f), terms, "lucene", 1.2, 0.75).select("qid", "doc_id", "score") for f in ("title", "text")]
+    parts = [sparse.bm25(index_of(spark, d, f, text=f), terms, "lucene", 1.2, 0.75).select("qid", "doc_id", "score") for f in ("title", "text")]
     return best(sparse.best_fields(parts))
 
 
 @query(
-    f"""WITH {S.index()}, {S.terms()},
+    f"""WITH {S.index(tokens=S.WORDS)}, {S.terms(tokens=S.WORDS)},
     kept AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) AS r FROM tf GROUP BY term) WHERE r <= 10000),
     w AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM dfs, st WHERE term IN (SELECT term FROM kept)),
     raw AS (SELECT doc_id, term, tf * idf AS x FROM tf JOIN w USING (term)),
@@ -89,32 +109,33 @@ def bm25_multifield_bestfields(spark, d):
     s AS (SELECT qid, doc_id, round(sum(x / dn * (y / qn2)), 6) AS score FROM qr JOIN qn2 USING (qid) JOIN raw USING (term) JOIN dn USING (doc_id) GROUP BY ALL) {S.top("s", 10)}"""
 )
 def tfidf_topk(spark, d):
-    return best(sparse.tfidf(sparse.tfidf_vectors(sparse.build(docs(spark, d))), sparse.query_terms(items(spark, d))))
+    """Tokens are runs of two or more letters, digits or underscores, on both sides."""
+    return best(sparse.tfidf(sparse.tfidf_vectors(index_of(spark, d, "words", tokenizer=tokens_word)), sparse.query_terms(items(spark, d), tokenizer=tokens_word)))
 
 
 def weights(spark: SparkSession, d: str) -> DataFrame:
-    w = sparse.build(docs(spark, d)).postings.select("doc_id", "term", F.round(F.log(1.0 + F.col("tf")), 6).alias("weight"))
-    return sparse.pruned(w, 60)
+    w = index_of(spark, d).postings.select("doc_id", "term", F.round(F.log(1.0 + F.col("tf")), 6).alias("weight"))
+    return sparse.pruned(w, 2000)
 
 
-_WEIGHTS = "pw AS (SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM (SELECT doc_id, term, round(ln(1.0 + tf), 6) AS weight FROM tf) WHERE weight > 0) WHERE r <= 60)"
+_WEIGHTS = "pw AS (SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM (SELECT doc_id, term, round(ln(1.0 + tf), 6) AS weight FROM tf) WHERE weight > 0) WHERE r <= 2000)"
 
 
 @query(f"WITH {S.index()}, {S.terms()}, {_WEIGHTS}, s AS (SELECT qid, doc_id, round(sum(qn * weight), 6) AS score FROM qt JOIN pw USING (term) GROUP BY ALL) {S.top('s', 10)}")
 def impact_binary_topk(spark, d):
-    return best(sparse.impact(weights(spark, d), sparse.query_terms(items(spark, d)), False))
+    return best(sparse.impact(weights(spark, d), sparse.query_terms(items(spark, d))))
 
 
 @query(f"WITH {S.index()}, {S.terms()}, {_WEIGHTS}, s AS (SELECT qid, doc_id, round(sum(round(ln(1.0 + qn), 6) * weight), 6) AS score FROM qt JOIN pw USING (term) GROUP BY ALL) {S.top('s', 10)}")
 def impact_weighted_topk(spark, d):
     q = sparse.query_terms(items(spark, d)).withColumn("qn", F.round(F.log(1.0 + F.col("qn")), 6))
-    return best(sparse.impact(weights(spark, d), q, True))
+    return best(sparse.impact(weights(spark, d), q))
 
 
 def bundle_hits(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
     """Hits of every language's own index, each query in its own language's and the unknown one's."""
     corpus = docs(spark, d)
-    index = sparse.build(corpus, bundle=F.coalesce("lang", F.lit("unknown")))
+    index = index_of(spark, d, "lang", bundle=F.coalesce("lang", F.lit("unknown")))
     hits = sparse.bm25(index, sparse.query_terms(queries))
     routed = queries.select("qid", query_language(F.col("text")).alias("ql"))
     hits = hits.join(routed, "qid").where((F.col("bundle") == F.col("ql")) | (F.col("bundle") == "unknown"))
@@ -162,14 +183,14 @@ def sparse_auto_lang(spark, d):
     SELECT qid, term, round(sum(w), 6) AS weight FROM (SELECT * FROM o UNION ALL SELECT * FROM m2) GROUP BY ALL"""
 )
 def rm3_terms(spark, d):
-    index, terms = sparse.build(docs(spark, d)), sparse.query_terms(items(spark, d))
+    index, terms = index_of(spark, d), sparse.query_terms(items(spark, d))
     return sparse.rm3(index, terms, sparse.bm25(index, terms)).select("qid", "term", F.round("qn", 6).alias("weight"))
 
 
 @query()
 def rm3_topk(spark, d):
     """Second pass with the expanded queries."""
-    index, terms = sparse.build(docs(spark, d)), sparse.query_terms(items(spark, d))
+    index, terms = index_of(spark, d), sparse.query_terms(items(spark, d))
     return best(sparse.bm25(index, sparse.rm3(index, terms, sparse.bm25(index, terms))))
 
 

@@ -29,7 +29,7 @@ def table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tamarack.plans import composition, evaluation, generation, lexical, texts, vectors  # noqa: F401
+    from tamarack.plans import composition, dispatch, evaluation, generation, lexical, texts, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '\s+'), lambda x: x <> '')"
+WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{2,}}')"
 DOCS = "SELECT '' AS bundle, doc_id, text FROM documents"
 BUNDLES = "SELECT coalesce(lang, 'unknown') AS bundle, doc_id, text FROM documents"
 ITEMS = "SELECT item_id AS qid, text FROM eval_items"
@@ -13,19 +14,19 @@ IDF = {
 }
 
 
-def index(docs: str = DOCS, field: str = "text") -> str:
+def index(docs: str = DOCS, field: str = "text", tokens: str = TOKENS) -> str:
     """CTEs d, tf (with dl), st, dfs of an index."""
     return f"""d AS ({docs}),
-        tok AS (SELECT bundle, doc_id, unnest({TOKENS.format(field)}) AS term FROM d),
+        tok AS (SELECT bundle, doc_id, unnest({tokens.format(field)}) AS term FROM d),
         dl AS (SELECT bundle, doc_id, count(*) AS dl FROM tok GROUP BY ALL),
         tf AS (SELECT t.*, dl FROM (SELECT bundle, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL) t JOIN dl USING (bundle, doc_id)),
         st AS (SELECT d.bundle, count(*) AS n, coalesce(sum(dl), 0) / count(*)::DOUBLE AS avgdl FROM d LEFT JOIN dl USING (bundle, doc_id) GROUP BY d.bundle),
         dfs AS (SELECT bundle, term, count(*) AS df FROM tf GROUP BY ALL)"""
 
 
-def terms(queries: str = ITEMS) -> str:
+def terms(queries: str = ITEMS, tokens: str = TOKENS) -> str:
     return f"""q AS ({queries}),
-        qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({TOKENS.format("text")}) AS term FROM q) GROUP BY ALL)"""
+        qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({tokens.format("text")}) AS term FROM q) GROUP BY ALL)"""
 
 
 def scored(kind: str = "okapi", k1: float = 1.5, b: float = 0.75, saturation: bool = True, qt: str = "qt") -> str:
@@ -35,7 +36,7 @@ def scored(kind: str = "okapi", k1: float = 1.5, b: float = 0.75, saturation: bo
         eps AS (SELECT bundle, 0.25 * avg(i) AS e FROM i0 GROUP BY bundle),
         idf AS (SELECT bundle, term, avgdl, {"CASE WHEN i < 0 THEN e ELSE i END" if kind == "okapi" else "i"} AS idf FROM i0 JOIN eps USING (bundle)),
         s AS (SELECT qid, tf.bundle, doc_id, round(sum(qn * idf * tf * {top} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score
-              FROM {qt} JOIN tf USING (term) JOIN idf USING (bundle, term) GROUP BY ALL)"""
+              FROM {qt} JOIN tf USING (term) JOIN idf USING (bundle, term) GROUP BY ALL HAVING score > 0)"""
 
 
 def top(source: str, k: int, by: str = "qid", columns: str = "qid, doc_id, score") -> str:

@@ -102,6 +102,36 @@ def org_chunks(spark, d):
     return structure.chunk_organisations(sheets(spark, d), "source", "t", 500)
 
 
+@query("SELECT page_id, page_id || '_chunk_0' AS chunk_id, CAST(NULL AS VARCHAR) AS organization_name, 0::BIGINT AS chunk_index, text AS content FROM logement_en WHERE text IS NOT NULL AND NOT regexp_matches(text, '=====\\s*(?:Organisation|Organization)\\s+\\d+:')")
+def org_chunks_without_header(spark, d):
+    """Documents without an organisation come out whole."""
+    p = table(spark, d, "logement_en", "page_id", "text").where(~F.col("text").rlike(r"=====\s*(?:Organisation|Organization)\s+\d+:"))
+    return structure.chunk_organisations(p, "page_id", "text", 500)
+
+
+@query()
+def org_chunks_recursive(spark, d):
+    """Long blocks are cut at separators; so are pages without an organisation."""
+    p = table(spark, d, "logement_en", "page_id", "text").select(F.col("page_id").cast("string").alias("key"), F.col("text").alias("t"))
+    return structure.chunk_organisations(sheets(spark, d).select(F.col("source").alias("key"), "t").unionByName(p), "key", "t", 500, recursive=True)
+
+
+@query("""WITH c AS (SELECT category_name, min(category_id) AS category_id FROM categories GROUP BY ALL), f AS (SELECT DISTINCT file_name FROM logement_en WHERE length(file_name) % 2 = 0),
+    n AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS r FROM f), k AS (SELECT *, row_number() OVER (ORDER BY category_id) AS r, count(*) OVER () AS m FROM c)
+    SELECT page_id, file_name, category_id, category_name, '' AS subcategory FROM logement_en JOIN n USING (file_name) JOIN k ON (n.r - 1) % m + 1 = k.r""")
+def file_categories(spark, d):
+    """Every second file name (by its length) is given a category in turn; the others have none."""
+    pages = table(spark, d, "logement_en", "page_id", "file_name")
+    cats = table(spark, d, "categories", "category_id", "category_name")
+    files = structure.running_ids(pages.select("file_name").where("length(file_name) % 2 = 0").distinct(), ["file_name"], "r")
+    order = cats.groupBy("category_name").agg(F.min("category_id").alias("category_id"))
+    order = structure.running_ids(order, ["category_id"], "k")
+    m = order.count()
+    base = F.replace(F.replace(F.col("file_name"), F.lit(".json"), F.lit("")), F.lit("_en"), F.lit(""))
+    names = files.withColumn("k", F.pmod(F.col("r") - 1, F.lit(m)) + 1).join(order.select("k", "category_name"), "k").select(base.alias("base"), "category_name").dropDuplicates(["base"])
+    return structure.categorise_files(pages, names, cats)
+
+
 @query("SELECT page_id, i AS piece_no, substr(text, i * 500 + 1, 500) AS piece FROM (SELECT page_id, text, unnest(range((length(text) + 499) // 500)) AS i FROM logement_en WHERE length(text) > 0)")
 def fixed_window_chunks(spark, d):
     p = table(spark, d, "logement_en", "page_id", "text")

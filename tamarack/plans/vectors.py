@@ -44,35 +44,29 @@ def sgpt_norm_topk(spark, d):
 
 @query(f"WITH {S.VECTORS}, s AS (SELECT qid, doc_id, round({S.DOT}, 6) AS score FROM qv, v WHERE qid <> doc_id AND label = ql) {S.top('s', 5)}")
 def category_filtered_knn(spark, d):
-    """Only vectors of the query's own class: each class is a search of its own."""
-    c, q = corpus(spark, d), asked(spark, d)
-    labels = [r[0] for r in c.select("label").distinct().collect()]  # classes: a bounded list
-    parts = [dense.search(c.where(F.col("label") == x), q.where(F.col("label") == x), 5) for x in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Only vectors of the query's own class: one search, with the class as a filter."""
+    return dense.search(corpus(spark, d), asked(spark, d), 5, group="label")
 
 
 @query(
     f"""WITH {S.VECTORS}, c AS (SELECT *, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) AS code FROM v),
     h AS (SELECT qid, doc_id, qv, c.code, (64 - list_inner_product(list_transform(qv, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END), c.code)) / 2 AS far FROM qv, c WHERE qid <> doc_id),
     n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY far, doc_id) AS r FROM h),
-    s AS (SELECT qid, doc_id, round(list_inner_product(qv, code), 6) AS score FROM n WHERE r <= 100) {S.top("s", 10)}"""
+    s AS (SELECT qid, doc_id, round(list_inner_product(qv, code), 6) AS score FROM n WHERE r <= 1000) {S.top("s", 10)}"""
 )
 def dense_binary_rerank(spark, d):
-    return dense.binary_search(corpus(spark, d), asked(spark, d), 10, 100)
+    return dense.binary_search(corpus(spark, d), asked(spark, d), 10, 1000)
 
 
 @query(
     f"""WITH {S.VECTORS}, b AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x FROM v))
-    SELECT doc_id, list_sum(list_transform(v, lambda x: floor((x - lo) / (hi - lo) * 255 + 0.5)))::BIGINT AS code_sum, floor((v[1] - lo) / (hi - lo) * 255 + 0.5)::BIGINT AS first_code FROM v, b"""
+    SELECT doc_id, array_to_string(list_transform(v, lambda x: floor((x - lo) / (hi - lo) * 255 + 0.5)::BIGINT), ',') AS code FROM v, b"""
 )
 def dense_sq8(spark, d):
     c = corpus(spark, d)
     lo, hi = c.select(F.explode("v").alias("x")).select(F.col("x").cast("double").alias("x")).agg(F.min("x"), F.max("x")).first()
     code = dense.sq8(F.col("v"), F.lit(lo), F.lit(hi))
-    return c.select("doc_id", F.aggregate(code, F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"), code[0].alias("first_code"))
+    return c.select("doc_id", F.array_join(F.transform(code, lambda x: x.cast("string")), ",").alias("code"))
 
 
 @query(f"WITH {S.VECTORS}, m AS (SELECT max(sqrt(list_inner_product(v, v))) AS longest FROM v) SELECT doc_id, round(sqrt(greatest(0, longest * longest - list_inner_product(v, v))), 4) AS extra FROM v, m")
@@ -82,10 +76,11 @@ def dense_mips_augment(spark, d):
     return c.select("doc_id", F.round(F.element_at(dense.augmented(F.col("v"), F.lit(longest)), -1), 4).alias("extra"))
 
 
-@query(f"WITH {S.VECTORS} SELECT doc_id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 5) AS total, list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END))::BIGINT AS bits FROM v")
+@query(f"WITH {S.VECTORS} SELECT doc_id, pos - 1 AS place, round(v[pos] / sqrt(list_inner_product(v, v)), 5) AS value, CASE WHEN v[pos] > 0 THEN 1 ELSE 0 END::BIGINT AS bit FROM (SELECT *, unnest(range(1, len(v) + 1)) AS pos FROM v)")
 def dense_normalize(spark, d):
-    n = dense.normalized(F.col("v"))
-    return corpus(spark, d).select("doc_id", F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.aggregate(dense.bit_code(F.col("v")), F.lit(0), lambda s, x: s + x).cast("long").alias("bits"))
+    both = F.arrays_zip(dense.normalized(F.col("v")).alias("n"), dense.bit_code(F.col("v")).alias("b"))
+    c = corpus(spark, d).select("doc_id", F.posexplode(both).alias("place", "x"))
+    return c.select("doc_id", F.col("place").cast("long").alias("place"), F.round("x.n", 5).alias("value"), F.col("x.b").cast("long").alias("bit"))
 
 
 @query(
@@ -115,8 +110,9 @@ def dense_pca_topk(spark, d):
     return dense.pca_search(corpus(spark, d), asked(spark, d), 10)
 
 
-@query(f"WITH {S.VECTORS} SELECT doc_id, round((1 * v[1] + 2 * v[2] + 3 * v[3]) / 6, 6) AS pooled FROM v")
+@query(f"WITH {S.VECTORS} SELECT doc_id, pos - 1 AS place, round((v[pos] + 2 * v[pos + 16] + 3 * v[pos + 32] + 4 * v[pos + 48]) / 10, 6) AS pooled FROM (SELECT *, unnest(range(1, 17)) AS pos FROM v)")
 def weighted_mean_pooling(spark, d):
-    """Three one-dimensional states, weighted by their places."""
-    states = F.array(*(F.array(F.col("v")[i]) for i in range(3)))
-    return corpus(spark, d).select("doc_id", F.round(dense.weighted_mean_pool(states, F.array(*[F.lit(1.0)] * 3))[0], 6).alias("pooled"))
+    """The whole vector as four states of sixteen components, weighted by their places."""
+    states = F.array(*(F.slice("v", 16 * i + 1, 16) for i in range(4)))
+    pooled = dense.weighted_mean_pool(states, F.array(*[F.lit(1.0)] * 4))
+    return corpus(spark, d).select("doc_id", F.posexplode(pooled).alias("place", "x")).select("doc_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("pooled"))

@@ -13,10 +13,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine. On a
+    cluster without the setting this raises."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="tamarack-")

@@ -15,10 +15,11 @@ def save_index(index: SparseIndex, path: str) -> None:
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
 def load_index(spark, path: str) -> SparseIndex:
-    return SparseIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+    return SparseIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats", "docs")))
 
 
 def save_vectors(vectors: DataFrame, path: str, by: str | None = None) -> None:

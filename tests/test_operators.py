@@ -118,7 +118,7 @@ def test_organisation_chunks(spark):
     t = "intro\n===== Organisation 1: A =====\nshort\n===== Organization 2: B =====\n" + "x" * 50
     df = spark.createDataFrame([("f", t), ("g", "none"), ("h", None)], "file string, t string")
     got = rows(structure.chunk_organisations(df, "file", "t", 20), "chunk_index", "chunk_id", "organization_name")
-    assert got == [(0, "f_org_0", "A"), (1, "f_org_1_sub_0", "B"), (2, "f_org_2_sub_1", "B"), (3, "f_org_3_sub_2", "B")]
+    assert got == [(0, "f_org_0", "A"), (0, "g_chunk_0", None), (1, "f_org_1_sub_0", "B"), (2, "f_org_2_sub_1", "B"), (3, "f_org_3_sub_2", "B")]
 
 
 def test_packing_and_numbers(spark):
@@ -180,7 +180,11 @@ def test_rounds_stop(spark):
 
 def test_upsert_and_weights(spark):
     index = sparse.build(spark.createDataFrame([(1, "a a b"), (2, "c")], "doc_id long, text string"))
-    got = rows(sparse.upsert(index, spark.createDataFrame([(2, "d d"), (3, "a")], "doc_id long, text string")), "doc_id", "term", "tf")
+    new = sparse.upsert(index, spark.createDataFrame([(2, "d d"), (3, "a")], "doc_id long, text string"))
+    got = rows(new.postings, "doc_id", "term", "tf")
+    assert rows(new.terms, "term", "df") == [("a", 2), ("b", 1), ("d", 1)] and rows(new.stats, "n", "avgdl") == [(3, 2.0)]
+    less = sparse.without(new, spark.createDataFrame([(1,), (7,)], "doc_id long"))
+    assert rows(less.terms, "term", "df") == [("a", 1), ("d", 1)] and rows(less.stats, "n", "avgdl") == [(2, 1.5)]
     assert got == [(1, "a", 2), (1, "b", 1), (2, "d", 2), (3, "a", 1)]
     w = sparse.weighted_terms(index.postings, spark.createDataFrame([(1, "a", 4.0), (1, "b", 0.0)], "doc_id long, term string, weight double"))
     assert rows(w, "doc_id", "term", "tf", "dl") == [(1, "a", 4.0, 4.0)]

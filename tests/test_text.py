@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
+from tamarack.operators import letters
 
 
 def one(spark, column, value, kind="string"):
@@ -13,9 +14,21 @@ def test_query_language(spark, query, lang):
     assert one(spark, T.query_language, query) == lang
 
 
-@pytest.mark.xfail(reason="needs a statistical detector as fallback", strict=True)
 def test_query_language_without_signal(spark):
-    assert one(spark, T.query_language, "banque alimentaire") == "fr"
+    french = "Les familles trouvent une aide alimentaire et une banque de vêtements dans chaque quartier de la ville. Le centre communautaire ouvre ses portes aux enfants et aux personnes âgées."
+    english = "Families find a food counter and a clothing bank in every part of the town. The community house opens its doors to children and older people."
+    rows = spark.createDataFrame([(french, "fr"), (english, "en"), (None, "fr"), ("x", None)], "text string, lang string")
+    model = letters.fit_letters(rows, "text", "lang")
+    ask = lambda q: one(spark, lambda c: T.query_language(c, model.column(c)), q)
+    assert ask("banque alimentaire") == "fr" and ask("community food bank") == "en"
+    assert ask(None) == "en" and ask("12 34") == "en" and ask("où") == "fr"
+    assert letters.fit_letters(rows.limit(0), "text", "lang").guess("banque", "en") == "en"
+
+
+def test_articles_go_at_word_boundaries_and_entities_are_decoded(spark):
+    assert one(spark, T.normalize_answer, "The theatre, d’a b: créa the a tea") == "theatre d’ b créa tea"
+    assert one(spark, T.html_text, "<p>Caf&eacute; &#233;t&#xe9; &amp;lt; &hellip;</p>") == "Café été &lt; …" and one(spark, T.html_text, "<b>x</b>") == "x"
+    assert one(spark, T.html_text, None) is None
 
 
 def test_paths(spark):
