@@ -76,7 +76,7 @@ def _at_starts(s: str, starts: frozenset[tuple[str, str]]) -> list[str]:
 
 
 def start_of(words: list[str]) -> tuple[str, str]:
-    return tuple("0" if any(c.isdigit() for c in w) else w for w in words[:2])  # type: ignore[return-value]
+    return tuple(w if w.isalpha() or not any(c.isdigit() for c in w) else "0" for w in words[:2])  # type: ignore[return-value]
 
 
 def terms(sentence: str) -> list[str]:
@@ -278,7 +278,12 @@ def fit(df: DataFrame, categories: DataFrame, key: str = "page_id", text: str =
                 at = l if l >= 0 else n - 1
                 total[3][at][""] += 1
                 sents = statements(t)
-                total[0][at].update({x for s in sents for x in terms(s)})
+                seen: set = set()
+                for s in sents:
+                    w = _WORD.findall(s.lower())
+                    seen.update(w)
+                    seen.update(zip(w, w[1:]))  # pairs are joined to terms once for a batch
+                total[0][at].update(seen)
                 if len(keys) > 100_000:
                     keys.clear()
                 lines = set()
@@ -297,6 +302,7 @@ def fit(df: DataFrame, categories: DataFrame, key: str = "page_id", text: str =
             for kind, by in enumerate(total):
                 what, c = [*set().union(*by)], []
                 c = [[x[w] for x in by] for w in what]
+                what = [x if isinstance(x, str) else " ".join(x) for x in what]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(what), pa.int32()), pa.array(what, pa.string()), pa.array(c, pa.list_(pa.int64()))], ["kind", "what", "c"])
 
     counted = d.select("t", "l").mapInArrow(count, "kind int, what string, c array<long>")
